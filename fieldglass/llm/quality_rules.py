@@ -122,9 +122,10 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least
     """doc_id, the base counts, base_failed, n_boiler_words, kept, and content (a hash); one row for each row of docs."""
     feats = Scratch(docs.sparkSession, "rules").keep(features(docs))
     lines = feats.select("doc_id", "content", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("doc_id", "content", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
-    # Rows that repeat a document hold the same lines: max, not sum, over them.
-    hit = lines.join(frequent_lines(feats, min_docs, share), "line").groupBy("doc_id", "content").agg(F.sum("words").alias("_sum"), F.count("*").alias("_n"), F.countDistinct("line").alias("_lines"))
-    boiler = hit.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (F.col("_sum") * F.col("_lines") / F.col("_n")).cast("long").alias("_boiler"))
+    # A set, as rows that repeat a document hold the same lines. It is gathered by document, a dealing other than the
+    # join's, so that the join may split a hot line.
+    hit = lines.join(frequent_lines(feats, min_docs, share), "line").groupBy("doc_id", "content").agg(F.collect_set(F.struct("line", "words")).alias("_set"))
+    boiler = hit.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.aggregate("_set", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("_boiler"))
     out = feats.join(boiler, feats["doc_id"].eqNullSafe(boiler["_id"]) & (feats["content"] == boiler["_content"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("_boiler", F.lit(0).cast("long"))
@@ -134,6 +135,23 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least
     )
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs that aren't among the rejected: _judged_id and _judged_content, the hash of the text."""
+
+    def digest(texts):
+        import pandas as pd
+
+        return pd.Series([_signed(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in texts])
+
+    import pandas as pd
+
+    digest.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    ids = bad.groupBy(F.col("_judged_id").alias("_rejected_id")).agg(F.collect_set("_judged_content").alias("_rejected"))
+    joined = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_rejected_id"]), "left")
+    content = F.pandas_udf(digest, "long")(docs["text"].cast("string"))
+    return joined.where(F.col("_rejected").isNull() | ~F.array_contains(F.coalesce("_rejected", F.array().cast("array<long>")), content)).select(*[docs[c] for c in docs.columns])
+
+
 def strip_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """The rows of docs with lines above the limit taken out of their texts. (A set of line hashes travels with each
     document that needs one, so nothing is broadcast.)"""
