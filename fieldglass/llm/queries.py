@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from . import ann, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
     "op2_quality_classifier": quality_classifier.query,
     "op3_simhash": simhash.query,
+    "op4_suffix_array": repeats.query,
+    "op5_sentencepiece": pieces.query,
     "op7_toxicity": toxicity.query,
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
+    "op10_ann": ann.query,
 }
 
 ORACLE: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
