@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, toxicity, url_filter
+from . import ann, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.query,
     "op4_suffix_array": repeats.query,
     "op5_sentencepiece": pieces.query,
+    "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
     "op8_url_filter": url_filter.query,
     "op9_mixing": mixing.query,
