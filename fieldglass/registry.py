@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from .plans import core
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.Q}
+ORACLE: dict[str, str] = {**core.O}
