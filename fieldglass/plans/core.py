@@ -61,7 +61,9 @@ _both("window_totals", lambda e: S.window_totals(S.dense_daily(e), 7), _DAYS + "
 _both("weekday_profile", lambda e: S.weekday_profile(S.dense_daily(e)), _DAYS + " SELECT CAST(w AS INT) AS weekday, CAST(coalesce(sum(events), 0) AS BIGINT) AS total, count(s.date) AS days, CASE WHEN count(s.date) > 0 THEN CAST(sum(events) AS DOUBLE) / count(s.date) ELSE 0.0 END AS mean FROM range(7) r(w) LEFT JOIN s ON isodow(s.date) - 1 = w GROUP BY w")
 _Z = "CASE WHEN mad > 0 THEN (v - median) / (1.4826::DOUBLE * mad) WHEN v <= median THEN 0.0 ELSE 3.0::DOUBLE * (v - median) / greatest(median, 1.0) END"
 _both("peaks", lambda e: S.peaks(S.dense_daily(e), min_z=1.5), _DAYS + f", d AS (SELECT median(events::DOUBLE) AS median FROM s), a AS (SELECT median(abs(events - median)) AS mad FROM s, d), z AS (SELECT date, events AS v, median, mad FROM s, d, a) SELECT date, v AS value, median, mad, {_Z} AS z FROM z WHERE {_Z} >= 1.5 AND v >= 3 AND v > median")
-_both("lulls", lambda e: S.lulls(S.dense_daily(e.where("magnitude >= 8")), quiet=0, min_run=2), ", q AS (SELECT * FROM {ev} WHERE magnitude >= 8)" + _DAYS.replace("{ev}", "q") + ", g AS (SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INT) AS island FROM s WHERE events <= 0) SELECT min(date) AS start, max(date) AS \"end\", count(*) AS days FROM g GROUP BY island HAVING count(*) >= 2")
+_LULLS = ", g AS (SELECT date, date - CAST(row_number() OVER (ORDER BY date) AS INT) AS island FROM s WHERE events <= {quiet}) SELECT min(date) AS start, max(date) AS \"end\", count(*) AS days FROM g GROUP BY island HAVING count(*) >= 2"
+_add("lulls", lambda s, d: S.lulls(S.dense_daily(ev_orders(s, d).where("magnitude >= 8")), quiet=0, min_run=2), f"WITH {EV_ORDERS}, q AS (SELECT * FROM evo WHERE magnitude >= 8)" + _DAYS.replace("{ev}", "q") + _LULLS.replace("{quiet}", "0"))
+_add("lulls_stream", lambda s, d: S.lulls(S.dense_daily(ev_stream(s, d)), quiet=335, min_run=2), f"WITH {EV_STREAM}" + _DAYS.replace("{ev}", "evs") + _LULLS.replace("{quiet}", "335"))
 _both("forecast", lambda e: S.forecast(S.dense_daily(e), horizon=7, fit_days=28), _DAYS + """, f AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS back FROM s), t AS (SELECT *, count(*) OVER () - back AS x FROM f WHERE back <= 28),
 l AS (SELECT count(*) AS n, max(date) AS last, sum(x) AS sx, sum(events) AS sy, sum(x * x) AS sxx, sum(x * events) AS sxy FROM t),
 c AS (SELECT n, last, sx, sy, CASE WHEN n * sxx - sx * sx <> 0 THEN CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) ELSE 0.0 END AS slope FROM l)
@@ -74,7 +76,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date DESC) AS b
 x AS (SELECT *, least(28, days) - back AS x FROM k WHERE days >= 3),
 g AS (SELECT country, max(date) AS last, max(days) AS days, CAST(sum(events) AS BIGINT) AS total, avg(events) FILTER (WHERE back <= 7) AS recent, avg(events) FILTER (WHERE back BETWEEN 8 AND 14) AS prior,
 count(*) FILTER (WHERE back <= 28) AS k, regr_slope(events, x) FILTER (WHERE back <= 28) AS sl, regr_intercept(events, x) FILTER (WHERE back <= 28) AS ic, regr_syy(events, x) FILTER (WHERE back <= 28) AS syy, regr_sxy(events, x) FILTER (WHERE back <= 28) AS sxy FROM x GROUP BY country)
-SELECT country, last, days, total, round(recent, 6) AS recent, round(prior, 6) AS prior, round(recent - prior, 6) AS momentum, round(sl, 6) AS slope, round(sqrt(greatest(0.0, (syy - sl * sxy) / k)), 6) AS sigma,
+SELECT country, last, days, total, round(recent, 6) AS recent, round(prior, 6) AS prior, round(recent - prior, 6) AS momentum, round(sl, 6) + 0.0 AS slope, round(sqrt(greatest(0.0, (syy - sl * sxy) / k)), 6) AS sigma,
 round((SELECT sum(greatest(0.0, ic + sl * (k - 1 + h))) FROM range(1, 8) r(h)), 6) AS projected, CASE WHEN sl > 0.1 THEN 'rising' WHEN sl < -0.1 THEN 'falling' ELSE 'steady' END AS trend FROM g""")
 _SAT = lambda x: f"CASE WHEN {x} <= 1 THEN 0.0 ELSE 100 * (1 - exp(-({x} - 1) / 1.5)) END"
 _ESC = _DAYS + f""", pl AS (SELECT DISTINCT date, {_PLACE} AS place FROM {{ev}}),

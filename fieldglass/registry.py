@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core
+from .plans import core, links
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.Q}
-ORACLE: dict[str, str] = {**core.O}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.Q, **links.Q}
+ORACLE: dict[str, str] = {**core.O, **links.O}
