@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ def dedupe(ev: DataFrame, key: str = "id") -> DataFrame:
     return ev.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+def within(ev: DataFrame, country: str | None = None, region: str | None = None, as_of: date | None = None) -> DataFrame:
+    """Events of exactly a country and a region, up to a day; plain comparisons, so they reach the scan."""
+    for column, value in (("country", country), ("region", region)):
+        if value is not None:
+            ev = ev.where(F.col(column) == value)
+    return ev if as_of is None else ev.where(F.col("date") <= F.lit(as_of))
+
+
 def hotspots(ev: DataFrame, n: int = 10) -> DataFrame:
     """Places by magnitude, then events."""
     place = X.first_of("region", "location", default="")

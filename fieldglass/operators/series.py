@@ -171,3 +171,23 @@ def escalation_index(ev: DataFrame, window: int = 7, baseline_windows: int = 4,
 def escalation_summary(index: DataFrame) -> DataFrame:
     """The last point, the first highest, and how many points rise and fall."""
     return index.agg(F.max_by("index", "date").alias("current"), F.max_by("level", "date").alias("level"), F.max("index").alias("peak"), F.max_by("date", F.struct("index", -F.datediff("date", F.lit("1970-01-01")))).alias("peak_date"), F.count_if(F.col("direction") == "rising").alias("rising"), F.count_if(F.col("direction") == "falling").alias("falling"))
+
+
+def escalation_now(index: DataFrame, window: int = 7, weights: tuple[float, float, float] = (0.40, 0.35, 0.25)) -> DataFrame:
+    """The latest point: its index, level and direction, the slope a day over the last window, and the components by what
+    they add to it, largest first."""
+    last = tail(index.select("date", "index", "level", "direction", "tempo_ratio", "intensity_ratio", "spread_ratio"), window)
+    slope, _ = line(F.col("x"), F.col("index"))
+    got = last.agg(F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in ("index", "level", "direction", "tempo_ratio", "intensity_ratio", "spread_ratio")], slope.alias("slope_per_day"))
+    part = [F.struct((-F.round(X.saturate(F.col(f"{n}_ratio")) * w, 6)).alias("k"), F.lit(n).alias("name")) for n, w in zip(("tempo", "intensity", "spread"), weights, strict=True)]
+    drivers = F.array_join(F.transform(F.array_sort(F.array(*part)), lambda d: d["name"]), ",")
+    return got.select("date", "index", "level", "direction", "slope_per_day", drivers.alias("drivers"))
+
+
+def tempo_summary(board: DataFrame, by: str = "country", top: int = 5) -> DataFrame:
+    """One row: keys by trend, the projected total, and the fastest rising keys."""
+    count = lambda t: F.count_if(F.col("trend") == t).alias(t)
+    got = board.agg(F.count("*").alias("keys"), count("rising"), count("steady"), count("falling"), F.round(F.sum("projected"), 3).alias("projected_total"))
+    fast = board.where("trend = 'rising'").orderBy(F.desc("slope"), F.desc("projected"), by).limit(top)  # a top-k, not a sort
+    names = fast.agg(F.array_sort(F.collect_list(F.struct((-F.col("slope")).alias("s"), (-F.col("projected")).alias("p"), F.col(by).alias("n")))).alias("_top"))
+    return got.crossJoin(F.broadcast(names)).select("keys", "rising", "steady", "falling", "projected_total", F.array_join(F.transform("_top", lambda r: r["n"]), ",").alias("top_rising"))

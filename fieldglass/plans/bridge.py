@@ -38,3 +38,27 @@ def ev_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EV_ORDERS = "evo AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _ORDERS.items()) + " FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 EV_STREAM = "evs AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _STREAM.items()) + " FROM events)"
+
+#: Force readings: one for each order line; odd lines are produced, even ones lost, and some know the inventory.
+_READINGS = {
+    "seq": "l_orderkey * 10 + l_linenumber", "date": "CAST(l_shipdate AS DATE)", "category": "l_returnflag", "side": "l_linestatus",
+    "produced": "CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS DOUBLE) ELSE CAST(0 AS DOUBLE) END", "lost": "CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS DOUBLE) * 2 ELSE CAST(0 AS DOUBLE) END",
+    "inventory": "CASE WHEN l_orderkey % 97 = 0 THEN CAST(l_quantity AS DOUBLE) * 1000 END", "source": "'lines'",
+}
+#: A log: seconds from the first day, channels by type, and motion from the value.
+_LOG = {
+    "seq": "event_id", "vehicle": "concat('v', CAST(user_id % 20 AS STRING))", "channel": "event_type", "t": "CAST(event_id AS DOUBLE) / 2", "accel": "CAST(event_id % 17 AS DOUBLE) / 8 - 1", "lateral": "CAST(event_id % 11 AS DOUBLE) / 8",
+    "tilt": "CAST(event_id % 13 AS DOUBLE)", "speed": "CAST(event_id % 7 AS DOUBLE)",
+}
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{x} AS {n}" for n, x in _READINGS.items()])
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[f"{x} AS {n}" for n, x in _LOG.items()])
+
+
+READINGS = "rd AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _READINGS.items()) + " FROM lineitem)"
+LOG = "lg AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _LOG.items()) + " FROM events)"

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core, links
+from .plans import boards, core, formats, links, prose, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.Q, **links.Q}
-ORACLE: dict[str, str] = {**core.O, **links.O}
+_PLANS = (core, links, boards, prose, formats, streams)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for plan in _PLANS for name, query in plan.Q.items()}
+ORACLE: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.O.items()}
