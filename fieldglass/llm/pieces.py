@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 MODEL, TEMPER, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 23
 MARK = "\u2581".encode()
 #: Characters of text sampled at once, and the longest word that is filtered together with others.
-AT_ONCE, LONG = 1 << 19, 128
+AT_ONCE, LONG = 1 << 20, 128
 #: A factor for each character, which keeps sums of usual words near 1, and the range outside of which they aren't used.
 _PER_CHAR, _LEAST, _MOST = 30.0, 1e-250, 1e250
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -272,7 +272,7 @@ class Filtered:
 
     def __init__(self, v: Vocabulary, words: list[str], spelled: Spelled) -> None:
         """words start with their spaces."""
-        blob = "".join(words)
+        blob = "\0".join(words) + "\0"  # no piece holds a zero byte, so a walk ends with its word
         chars = np.fromiter(map(len, words), np.int64, len(words))
         self.order = np.argsort(-chars, kind="stable")
         self.rank = np.empty(len(words), np.int64)
@@ -282,40 +282,40 @@ class Filtered:
         self.n = np.searchsorted(-chars[self.order], -np.arange(most + 1), side="right")  # ranks with a k-th node
         wide = min(v.longest_chars, most)
         lengths = np.minimum(np.arange(most + 1), wide)
-        self.off = np.r_[0, np.cumsum(self.n[1:] * lengths[1:])]
-        self.off = np.r_[0, self.off]  # off[k]: where the cells of node k begin
+        self.off = np.r_[0, 0, np.cumsum(self.n[1:] * lengths[1:])]  # off[k]: where the cells of node k begin
         none, as_bytes = len(v.linear) - 2, len(v.linear) - 1
         self.piece = np.full(self.off[-1], none, np.int32)
 
         raw = np.frombuffer(blob.encode("utf-8", "surrogatepass"), np.uint8)
-        first = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each character
-        n_chars = len(first)
-        char_end = np.r_[first[1:], len(raw)]
-        word = np.repeat(np.arange(len(words)), chars)
-        rank = self.rank[word]
-        word_start = np.cumsum(chars) - chars
-        local = np.arange(n_chars) - word_start[word]  # the node before each character
-        word_end = np.r_[first, len(raw)][(word_start + chars)][word]  # in bytes
-        ascii_only = len(raw) == n_chars
-        char_at = None if ascii_only else np.cumsum((raw & 0xC0) != 0x80)  # characters up to a byte, inclusive
-
-        state = np.zeros(n_chars, np.int64)
-        origin = np.arange(n_chars)
-        at = first.copy()
-        lone = np.zeros(n_chars, bool)
+        starts_char = (raw & 0xC0) != 0x80
+        first = np.flatnonzero(starts_char)  # the first byte of each character
+        inside = np.ones(len(first), bool)
+        inside[np.cumsum(chars + 1) - 1] = False
+        char_end = np.r_[first[1:], len(raw)][inside]
+        first = first[inside]
+        rank = np.repeat(self.rank, chars)
+        local = np.arange(len(first)) - np.repeat(np.cumsum(chars) - chars, chars)  # the node before each character
+        up_to = None if len(raw) == len(first) + len(words) else np.cumsum(starts_char)  # characters up to a byte
+
+        origin, at = np.arange(len(first)), first
+        state = np.zeros(len(first), np.int64)
+        lone = np.zeros(len(first), bool)
+        length = 0
         while len(at):
             to = v.base[state] + raw[at]
-            alive = v.check[to] == state
+            alive = np.flatnonzero(v.check[to] == state)
             state, origin, at = to[alive], origin[alive], at[alive] + 1
             value = v.value[state]
             hit = np.flatnonzero(value >= 0)
             o = origin[hit]
-            length = at[hit] - first[o] if ascii_only else char_at[at[hit] - 1] - o
+            length = length + 1 if up_to is None else up_to[at[hit] - 1] - up_to[first[o]] + 1
             k = local[o] + length
             self.piece[self.off[k] + (length - 1) * self.n[k] + rank[o]] = value[hit]
-            lone[o[length == 1]] = True
-            more = at < word_end[origin]
-            state, origin, at = state[more], origin[more], at[more]
+            if up_to is None:
+                if length == 1:
+                    lone[o] = True
+            else:
+                lone[o[length == 1]] = True
         odd = np.flatnonzero(~lone)
         self.codes: dict[int, int] = {}
         weight_of = v.linear

@@ -197,8 +197,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bin_limit: int = BIN_
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs))
     classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    # Ids that a repeated row spreads over classes would be two nodes of one name: a repeated id links its classes.
-    edges = links(classes.where("id IS NOT NULL"), radius, bin_limit)
+    # An id with several texts links their classes.
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high")).where("_low <> _high").select("doc_id", "_low")
+    spread = prints.join(several, "doc_id").where("fp <> _low").select("fp", "_low").distinct()
+    near, far = classes.select("fp", F.col("id").alias("_x")), classes.select(F.col("fp").alias("_low"), F.col("id").alias("_y"))
+    same_id = spread.join(near, "fp").join(far, "_low").where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+    edges = links(classes.where("id IS NOT NULL"), radius, bin_limit).unionByName(same_id)
     found = components(edges, scratch)
     named = classes.join(found, classes["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
