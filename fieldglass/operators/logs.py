@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,21 +90,28 @@ PLACED = "vehicle string, item string, weight double, volume double, bay int"
 
 def pack(items: DataFrame, bays: list[tuple[float, float]]) -> DataFrame:
     """Greedy packing of each vehicle's items, heaviest first, into the bay with the most weight to spare that holds them;
-    bay null where none does. bays: (weight, volume) limits. A vehicle's load is bounded by its bays."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["weight", "item"], ascending=[False, True])
-        weight, volume, out = [0.0] * len(bays), [0.0] * len(bays), []
-        for r in part.itertuples():
-            fit = [i for i, (w, v) in enumerate(bays) if weight[i] + r.weight <= w + 1e-9 and volume[i] + r.volume <= v + 1e-9]
-            at = max(fit, key=lambda i: (bays[i][0] - weight[i], -i)) if fit else None
-            if at is not None:
-                weight[at] += r.weight
-                volume[at] += r.volume
-            out.append(at)
-        return part.assign(bay=pd.array(out, dtype="Int32"))[["vehicle", "item", "weight", "volume", "bay"]]
-
-    return items.select("vehicle", "item", "weight", "volume").groupBy("vehicle").applyInPandas(run, PLACED)
+    bay null where none does. bays: (weight, volume) limits.
+
+    Placing is sequential for each vehicle, so items are dealt by vehicle, sorted, and read as a stream: a task holds the
+    loads of one vehicle's bays, whatever the number of vehicles or items."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, weight, volume = None, [], []
+        for part in frames:
+            out = []
+            for name, w, v in zip(part["vehicle"], part["weight"], part["volume"], strict=True):
+                if current is None or name != current[0]:
+                    current, weight, volume = (name,), [0.0] * len(bays), [0.0] * len(bays)
+                fit = [i for i, (x, y) in enumerate(bays) if weight[i] + w <= x + 1e-9 and volume[i] + v <= y + 1e-9]
+                at = max(fit, key=lambda i: (bays[i][0] - weight[i], -i)) if fit else None
+                if at is not None:
+                    weight[at] += w
+                    volume[at] += v
+                out.append(at)
+            yield part.assign(bay=pd.array(out, dtype="Int32"))
+
+    rows = items.select("vehicle", "item", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    return rows.repartition("vehicle").sortWithinPartitions("vehicle", F.desc("weight"), "item").mapInPandas(run, PLACED)
 
 
 def component_findings(parts: DataFrame, origins: tuple[str, ...] = (), licenses: tuple[str, ...] = (), denied: tuple[str, ...] = (), pinned: bool = True) -> DataFrame:

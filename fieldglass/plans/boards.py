@@ -27,8 +27,8 @@ _table = lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet")
 
 # Attrition ----------------------------------------------------------------------------------------------------------
 _COL = f"WITH {READINGS}, co AS (SELECT category, side, date, sum(produced) AS produced, sum(lost) AS lost, arg_max(inventory, seq) FILTER (WHERE inventory IS NOT NULL) AS inventory FROM rd WHERE date IS NOT NULL GROUP BY 1, 2, 3)"
-_TRJ = _COL + """, ru AS (SELECT *, produced - lost AS net, sum(produced - lost) OVER (PARTITION BY category, side ORDER BY date) AS run, min(date) FILTER (WHERE inventory IS NOT NULL) OVER (PARTITION BY category, side) AS at FROM co),
-an AS (SELECT category, side, date AS at, inventory AS anchor, run AS was FROM ru WHERE date = at),
+_TRJ = _COL + """, ru AS (SELECT *, produced - lost AS net, sum(produced - lost) OVER (PARTITION BY category, side ORDER BY date) AS run, min(date) FILTER (WHERE inventory IS NOT NULL) OVER (PARTITION BY category, side) AS since FROM co),
+an AS (SELECT category, side, inventory AS anchor, run AS was FROM ru WHERE date = since),
 tr AS (SELECT ru.category, ru.side, ru.date, produced, lost, net, greatest(0.0, CASE WHEN anchor IS NULL THEN run ELSE anchor + run - was END) AS stock FROM ru LEFT JOIN an ON ru.category = an.category AND ru.side = an.side)"""
 _PRJ = _TRJ + """, pb AS (SELECT *, max(date) OVER p AS last, min(date) OVER p AS first, row_number() OVER (PARTITION BY category, side ORDER BY date DESC) AS back FROM tr WINDOW p AS (PARTITION BY category, side)),
 pc AS (SELECT *, count(*) FILTER (WHERE last - date <= 180) OVER (PARTITION BY category, side) AS k FROM pb), pu AS (SELECT *, CAST(date - first AS DOUBLE) AS x FROM pc WHERE CASE WHEN k >= 2 THEN last - date <= 180 ELSE back <= 2 END),
@@ -95,7 +95,7 @@ _add("catalog_one_per_site", lambda s, d: K.one_per_site(_catalog(s, d)).select(
 _add("log_replay", lambda s, d: L.replay(log(s, d), "click", 100.0, 2000.0).select("seq", "t", "channel"), f"WITH {LOG} SELECT seq, t, channel FROM lg WHERE channel = 'click' AND t BETWEEN 100 AND 2000")
 _add("log_after_action", lambda s, d: L.after_action(log(s, d)), f"WITH {LOG} SELECT channel, count(*) AS records, min(t) AS start_t, max(t) AS end_t, max(t) - min(t) AS duration_s FROM lg GROUP BY ROLLUP (channel)")
 _RIDE = f"""WITH {LOG}, jk AS (SELECT *, coalesce(abs(accel - lag(accel) OVER w) / greatest(1e-6::DOUBLE, t - lag(t) OVER w), 0.0) AS jerk FROM lg WINDOW w AS (PARTITION BY vehicle ORDER BY t)),
-ra AS (SELECT *, [abs(accel) / 1.2::DOUBLE, abs(lateral) / 1.2::DOUBLE, jerk / 1.0::DOUBLE, abs(tilt) / 12.0::DOUBLE, abs(speed) / 6.0::DOUBLE] AS r FROM jk), wo AS (SELECT *, list_max(r) AS worst FROM ra),
+ra AS (SELECT *, [abs(accel) / 1.2::DOUBLE, abs("lateral") / 1.2::DOUBLE, jerk / 1.0::DOUBLE, abs(tilt) / 12.0::DOUBLE, abs(speed) / 6.0::DOUBLE] AS r FROM jk), wo AS (SELECT *, list_max(r) AS worst FROM ra),
 rv AS (SELECT vehicle, t, jerk, CASE WHEN worst > 0 THEN ['accel', 'lateral', 'jerk', 'tilt', 'speed'][list_position(r, worst)] END AS worst_axis, worst AS worst_ratio, CASE WHEN worst <= 1 THEN 'ok' WHEN worst <= 1.25 THEN 'minor' WHEN worst <= 1.6 THEN 'moderate' ELSE 'severe' END AS severity, 1 / (1 + pow(greatest(0.0, worst - 1), 2)) AS quality FROM wo)"""
 _add("ride_verdicts", lambda s, d: _R(L.ride_verdicts(log(s, d)), "jerk", "worst_ratio", "quality"), _RIDE + " SELECT vehicle, t, round(jerk, 6) + 0.0 AS jerk, worst_axis, round(worst_ratio, 6) + 0.0 AS worst_ratio, severity, round(quality, 6) + 0.0 AS quality FROM rv")
 _add("ride_report", lambda s, d: _R(L.ride_report(L.ride_verdicts(log(s, d))), "ride_quality"), _RIDE + " SELECT vehicle, count(*) AS samples, round(avg(quality), 6) + 0.0 AS ride_quality, count(*) FILTER (WHERE severity = 'minor') AS minor, count(*) FILTER (WHERE severity = 'moderate') AS moderate, count(*) FILTER (WHERE severity = 'severe') AS severe, count(*) FILTER (WHERE severity IN ('moderate', 'severe')) = 0 AS acceptable FROM rv GROUP BY 1")

@@ -61,4 +61,4 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READINGS = "rd AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _READINGS.items()) + " FROM lineitem)"
-LOG = "lg AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _LOG.items()) + " FROM events)"
+LOG = "lg AS (SELECT " + ", ".join(f'{x} AS "{n}"' for n, x in _LOG.items()) + " FROM events)"

@@ -35,7 +35,7 @@ def run(df: DataFrame, mode: str) -> DataFrame:
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{tables.path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     read = df.sparkSession.read.schema(df.schema)
-    return read.parquet(f"{where}/batch={last[-1]}") if mode == "complete" else read.parquet(where)
+    return read.parquet(f"{where}/batch={last[-1]}") if mode == "complete" else read.parquet(where).select(*df.columns)
 
 
 def _add(name, query, sql, mode="complete"):

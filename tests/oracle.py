@@ -64,7 +64,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     where, *wanted = sys.argv[1:] or ["/root/testdata/sf0.01"]
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     db, sqls, bad = connect(where), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
