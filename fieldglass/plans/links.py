@@ -22,7 +22,8 @@ def _add(name, query, sql=None):
 
 _R = lambda df, *cols: df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c in cols else c for c in df.columns])
 _KM = "2 * 6371.0::DOUBLE * asin(sqrt(least(1.0, power(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))))"
-_PAIRS = ", pr AS (SELECT x.seq AS a, y.seq AS b FROM evs x JOIN evs y ON x.seq < y.seq AND abs(x.date - y.date) <= 3 AND abs(x.lat - y.lat) < 0.1 WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + " <= 8.0)"
+# The view's latitudes are tenths of a degree, and the radii are under a tenth, so DuckDB may hash the latitude.
+_PAIRS = ", pr AS (SELECT x.seq AS a, y.seq AS b FROM evs x JOIN evs y ON x.seq < y.seq AND abs(x.date - y.date) <= 3 AND round(x.lat * 10) = round(y.lat * 10) WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + " <= 8.0)"
 _COMP = ", ed AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs}), rc AS (SELECT a AS node, a AS m FROM ed UNION SELECT ed.a, rc.m FROM rc JOIN ed ON ed.b = rc.node AND rc.m < ed.a), cc AS (SELECT node, min(m) AS component FROM rc GROUP BY node)"
 
 _add("near_pairs", lambda e: L.near_pairs(e, 8.0, 3), _PAIRS + " SELECT a, b FROM pr")
@@ -35,7 +36,7 @@ tp AS (SELECT component, array_to_string(list(actor ORDER BY r), ',') AS top_act
 SELECT component, size, magnitude, start, "end", round(clat, 6) + 0.0 AS center_lat, round(clon, 6) + 0.0 AS center_lon, span_days, round(km, 6) + 0.0 AS radius_km, top_actors FROM ba JOIN aw USING (component) JOIN tp USING (component)""")
 
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', notes, actor1, actor2, location, region)), '([a-z0-9]+)', 1), lambda w: length(w) >= 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")))"
-_DUP = f", tk AS (SELECT *, {_TOK} AS t FROM evs), dp AS (SELECT x.seq AS a, y.seq AS b FROM tk x JOIN tk y ON x.seq < y.seq AND abs(x.date - y.date) <= 1 AND abs(x.lat - y.lat) < 0.1 WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + """ <= 5.0
+_DUP = f", tk AS (SELECT *, {_TOK} AS t FROM evs), dp AS (SELECT x.seq AS a, y.seq AS b FROM tk x JOIN tk y ON x.seq < y.seq AND abs(x.date - y.date) <= 1 AND round(x.lat * 10) = round(y.lat * 10) WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + """ <= 5.0
 AND (coalesce(len(list_intersect(x.t, y.t))::DOUBLE / nullif(len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)), 0), 0.0) >= 0.5 OR (x.event_type = y.event_type AND x.event_type <> 'other')))"""
 _OPT = {"max_day_gap": 1, "radius_km": 5.0, "threshold": 0.5}
 _INC = _DUP + _COMP.replace("{pairs}", "dp") + ", ic AS (SELECT evs.*, coalesce(component, seq) AS incident FROM evs LEFT JOIN cc ON cc.node = seq)"

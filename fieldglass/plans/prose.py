@@ -57,7 +57,7 @@ _add("document_types", lambda s, d: _table(s, d, "documents").groupBy(X.event_ty
 _add("extract", lambda s, d: T.extract(_table(s, d, "documents").select("doc_id", "text"), gazetteer=["Niger", "Nigeria", "Mali"]).drop("text").withColumn("dates", F.array_join(F.transform("dates", lambda x: x.cast("string")), ",")).withColumn("platforms", F.array_join("platforms", ",")).withColumn("actors", F.array_join("actors", ";")).withColumn("places", F.array_join("places", ";")))
 _PLAT = "concat_ws(',', " + ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in ws)} THEN '{n}' END" for n, ws in T._PLATFORMS) + ")"
 _add("document_platforms", lambda s, d: _table(s, d, "documents").select(F.array_join(T.platforms(F.col("text")), ",").alias("platforms")).groupBy("platforms").agg(F.count("*").alias("documents")), f"SELECT {_PLAT} AS platforms, count(*) AS documents FROM documents GROUP BY 1")
-_add("page_text", lambda s, d: _table(s, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("digest")), r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS digest FROM pages".replace('\'""\'', "'\"'"))
+_add("page_text", lambda s, d: _table(s, d, "pages").select("page_id", F.md5(X.strip_html(F.col("html"))).alias("digest")), r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS digest FROM pages")
 _add("page_hosts", lambda s, d: _table(s, d, "pages").groupBy(X.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("pages")), "SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1")
 
 # Recommendations: turns of conversations as events, benchmark items as lessons ------------------------------------------
