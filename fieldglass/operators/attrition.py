@@ -57,7 +57,7 @@ def project(readings: DataFrame, fit_days: int = 180, as_of: date | None = None)
     got = got.withColumn("slope", slope)
     sigma = F.sqrt(F.greatest(F.lit(0.0), (F.col("_yy") - F.col("slope") * F.col("_xy")) / F.col("points") / F.col("points")))
     days = F.when((F.col("slope") < 0) & (F.col("current") > 0), F.col("current") / -F.col("slope"))
-    return got.select(*KEYS, "last", "current", "points", "slope", sigma.alias("sigma"), days.alias("days_left"), F.date_add("last", F.round(F.least(days, F.lit(1e6))).cast("int")).alias("depletion"))
+    return got.select(*KEYS, "last", "current", "points", "slope", sigma.alias("sigma"), days.alias("days_left"), F.when(days < 1e6, F.date_add("last", F.round(days).cast("int"))).alias("depletion"))
 
 
 def projected_days(projection: DataFrame, horizon: int = 30) -> DataFrame:
