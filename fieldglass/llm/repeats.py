@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_shuffles, parts, table
 from .suffix_array import SuffixArray
 
-LENGTH, GRAM, HOT = 100, 32, 20_000
+LENGTH, GRAM, HOT = 100, 32, 2048
 #: Window starts in a segment of the anchor scan, and bytes of contexts under one suffix array.
 SEGMENT, COLLECTION = 1 << 17, 1 << 20
 _REACH = LENGTH - GRAM  # how far an anchor can stand from the start of its window
