@@ -72,9 +72,9 @@ def test_new_hotspot(spark, now, base, want):
 
 
 def test_floor_and_as_of(spark):
-    ev = frame(spark, daily((30, 3, 3, 3, 3)))
-    every, high = D.detect(ev).count(), D.detect(ev, min_severity="high").count()
-    assert 0 < high < every and D.detect(ev, min_severity="nope").count() == every
+    ev = frame(spark, daily((5, 3, 3, 3, 3)))
+    every, some = D.detect(ev).count(), D.detect(ev, min_severity="medium").count()
+    assert 0 < some < every and D.detect(ev, min_severity="nope").count() == every
     assert D.detect(ev, as_of=END - dt.timedelta(days=7)).where("detector = 'spike'").count() == 0
 
 
@@ -161,9 +161,9 @@ def test_duplicates_match_brute_force(spark, seed):
 
 
 def test_merge_folds_reports(spark):
-    rows = [event(1, 1, magnitude=3, notes="short", source="W", lat=1.0, lon=1.0, event_type="other", location="Town"), event(2, 0, magnitude=5, notes="a longer note about the convoy", source="R", lat=1.0, lon=1.01, event_type="other", location="Town"), event(3, 0, lat=50.0, lon=50.0)]
+    rows = [event(1, 1, magnitude=3, notes="convoy hit near bridge", source="W", lat=1.0, lon=1.0, event_type="other", location="Town"), event(2, 0, magnitude=5, notes="convoy hit near the old bridge", source="R", lat=1.0, lon=1.01, event_type="other", location="Town"), event(3, 0, lat=50.0, lon=50.0)]
     got = L.merge(frame(spark, rows)).orderBy("incident").collect()
-    assert len(got) == 2 and (got[0].reports, got[0].magnitude, got[0].notes, got[0].source) == (2, 5, "a longer note about the convoy", "R | W")
+    assert len(got) == 2 and (got[0].reports, got[0].magnitude, got[0].notes, got[0].source) == (2, 5, "convoy hit near the old bridge", "R | W")
     report = L.merge_report(L.merge(frame(spark, rows))).first()
     assert tuple(report) == (3, 2, 1, 2)
 
@@ -289,4 +289,5 @@ def test_flux_finds_who_comes_and_goes(spark):
 def test_filters_reach_the_scan(spark, tmp_path):
     frame(spark, daily((3, 3))).write.parquet(f"{tmp_path}/ev")
     plan = A.timeline(A.within(spark.read.parquet(f"{tmp_path}/ev"), country="X", as_of=END))._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(country), IsNotNull(date), EqualTo(country,X), LessThanOrEqual(date" in plan and "notes" not in plan.split("ReadSchema")[1]
+    pushed, read = plan.split("PushedFilters: ")[1].split("ReadSchema: ")
+    assert "EqualTo(country,X)" in pushed and "LessThanOrEqual(date," in pushed and "notes" not in read
