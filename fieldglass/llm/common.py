@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,18 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Shared:
+    """A broadcast object of this package's classes: it travels by value, so executors need not have the package."""
+
+    def __init__(self, spark: SparkSession, x: object) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(x))
+
+    @property
+    def value(self):
+        """The object, loaded anew by each call: a task asks once."""
+        return cloudpickle.loads(self._bytes.value)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 MODEL, TEMPER, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 23
 MARK = "\u2581".encode()
 #: Characters of text sampled at once, and the longest word that is filtered together with others.
@@ -448,7 +450,7 @@ def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
 
 def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text", seed: int = SEED, temper: float = TEMPER) -> DataFrame:
     """doc_id (the key), n_pieces, piece_ids, and lossless: whether decoding gave the text back."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, temper))  # a vocabulary has a fixed size
+    vocabulary = Shared(docs.sparkSession, Vocabulary.load(model, temper))  # a vocabulary has a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -468,11 +470,12 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of encoded rows."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    vocabulary = Shared(encoded.sparkSession, Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
         for b in batches:
-            texts = [None if i is None else decode_ids(vocabulary.value, i) for i in b.column(1).to_pylist()]
+            texts = [None if i is None else decode_ids(v, i) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "piece_ids").mapInArrow(run, "doc_id long, text string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import Shared, held_out, table
 from .labelled import sample
 
 SAMPLE, LONGEST, STEPS, BATCH, SEED = 2500, 32_768, 500, 32, 5
@@ -183,11 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 
 def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted, one row for each row of docs."""
-    weights = docs.sparkSession.sparkContext.broadcast(net)  # some tens of kB
+    weights = Shared(docs.sparkSession, net)  # some tens of kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = weights.value
         for b in batches:
-            p = score(weights.value, [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            p = score(net, [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

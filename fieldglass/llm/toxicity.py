@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import Shared, held_out, table
 from .labelled import sample
 
 SAMPLE, LONGEST, BITS, FACTORS, EPOCHS, SEED, MIN_G2 = 8000, 262_144, 18, 8, 30, 11, 11.0
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 def classify(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted, one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2^18 buckets
+    shared = Shared(docs.sparkSession, machine)  # at most 2^18 buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
