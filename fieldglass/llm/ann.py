@@ -2,10 +2,11 @@
 
 Coarse centroids and the residuals' codebooks are fitted on the driver, on at most SAMPLE vectors (those with the smallest
 hash of their id). Every vector is indexed: its list is that of its nearest centroid, and its residual is coded with a byte
-for each of SUBSPACES parts. A query visits the lists whose centroids have the largest inner product with it: PROBES at
-least, and as many as hold ENOUGH vectors. In a list it adds one table entry for each code byte to the centroid's product
-(asymmetric distances: the query itself isn't quantised), and the RERANK best are scored exactly, in double precision, on
-the original vectors. The nearest of all lists are the answer.
+for each of SUBSPACES parts. A query visits the lists whose centroids have the largest inner product with it. How many is
+measured: for TRIALS of the queries the true neighbours are found by brute force over all rows, and the fewest lists are
+taken that hold at least GOAL of them on average. In a list a query adds one table entry for each code byte to the
+centroid's product (asymmetric distances: the query itself isn't quantised), and the RERANK best are scored exactly, in
+double precision, on the original vectors. The nearest of all lists are the answer.
 
 A list is searched in cells: blocks of at most CELL vectors by at most CELL queries. A vector that a third of all rows
 hold makes one long list of many cells, never one large task. Ties go to the smaller id at every step: equal vectors have
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, Shared, table
 
 SAMPLE, SUBSPACES, CODES, ROUNDS, SEED = 16_384, 16, 256, 10, 3
-MAX_LISTS, PROBES, ENOUGH, RERANK, CELL, K = 4096, 24, 1000, 200, 4096, 20
+#: Lists hold LIST vectors, if there are enough for LEAST_LISTS of them.
+MAX_LISTS, LEAST_LISTS, LIST, TRIALS, GOAL, RERANK, CELL, K = 4096, 32, 2048, 256, 0.98, 200, 4096, 20
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -104,19 +106,31 @@ def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(~bad).where(F.exists("vec", lambda x: x != 0))
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """The n largest; of equal scores the earlier."""
+    if len(score) <= n:
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - n)[len(score) - n]
+    above = np.flatnonzero(score > least)
+    return np.concatenate([above, np.flatnonzero(score == least)[: n - len(above)]])
+
+
 def _search_cell(index: Index, codes: np.ndarray, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> tuple[list, list, list]:
-    order = np.argsort(ids, kind="stable")  # ties of a stable sort then go to the smaller id
-    codes, ids, x = codes[order], ids[order], x[order].astype(np.float64)
+    order = np.argsort(ids, kind="stable")  # ties then go to the smaller id
+    codes, ids, x = codes[order].astype(np.int64), ids[order], x[order].astype(np.float64)
     out_q, out_v, out_s = [], [], []
-    flat = codes.astype(np.int64) + np.arange(SUBSPACES) * CODES
-    for at in range(0, len(q), 256):
-        tables = index.tables(q[at : at + 256]).reshape(-1, SUBSPACES * CODES)
-        for i, t in enumerate(tables):
+    for at in range(0, len(q), 64):
+        some = q[at : at + 64]
+        # The centroid's product is the same for all rows of a list.
+        tables = index.tables(some)
+        near = tables[:, 0][:, codes[:, 0]]
+        for part in range(1, SUBSPACES):
+            near += tables[:, part][:, codes[:, part]]
+        for i, row in enumerate(near):
             me = q_ids[at + i]
-            # The centroid's product is the same for all rows of a list.
-            best = np.argsort(-t[flat].sum(axis=1), kind="stable")[: rerank + 1] if len(ids) > rerank + 1 else np.arange(len(ids))
-            best = best[ids[best] != me][:rerank]
-            score = (x[best] * q[at + i].astype(np.float64)).sum(axis=1)
+            best = _best(row, rerank + 1)
+            best = best[ids[best] != me]
+            score = (x[best] * some[i].astype(np.float64)).sum(axis=1)
             top = np.lexsort((ids[best], -score))[:k]
             out_q += [me] * len(top)
             out_v += ids[best][top].tolist()
@@ -124,8 +138,46 @@ def _search_cell(index: Index, codes: np.ndarray, ids: np.ndarray, x: np.ndarray
     return out_q, out_v, out_s
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = K, probes: int = PROBES, rerank: int = RERANK, cell: int = CELL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+def probes_for(coded: DataFrame, coarse: np.ndarray, counts: np.ndarray, dim: int, every: int, k: int, trials: int = TRIALS, goal: float = GOAL) -> int:
+    """How many lists hold, on average, at least ``goal`` of the k true neighbours of a query.
+
+    The trial queries are those with the smallest hash of their id. Each task keeps k rows for each of them."""
+    spark = coded.sparkSession
+    sample = coded.where(F.col("vec_id") % every == 0).select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(trials).collect()
+    if not sample:
+        return len(coarse)
+    q_ids, q = np.array([r.vec_id for r in sample], np.int64), np.array([r.vec for r in sample], np.float64)
+    asked = spark.sparkContext.broadcast((q_ids, q))  # at most TRIALS vectors
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = asked.value
+        held = [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64)]  # score, id, list
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            score = vectors @ _matrix(b.column(1), dim).astype(np.float64).T
+            score[ids[:, None] == own[None, :]] = -np.inf
+            wide = [np.concatenate([h, np.broadcast_to(x, score.shape)], axis=1) for h, x in zip(held, (score, own, b.column(2).to_numpy(zero_copy_only=False)), strict=True)]
+            top = np.argsort(-wide[0], axis=1, kind="stable")[:, :k]
+            held = [np.take_along_axis(w, top, axis=1) for w in wide]
+        keep = held[0] > -np.inf
+        who = np.broadcast_to(np.arange(len(ids))[:, None], keep.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (who.astype(np.int64), held[0], held[1], held[2].astype(np.int64))], ["q", "score", "vec_id", "list"])
+
+    rows = coded.select("vec_id", "vec", "list").mapInArrow(brute, "q long, score double, vec_id long, list long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    true = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("q", "list").collect()  # at most TRIALS * k rows
+    place = np.empty((len(q), len(coarse)), np.int64)
+    near = np.where(counts > 0, q @ coarse.T.astype(np.float64), -np.inf)
+    np.put_along_axis(place, np.argsort(-near, axis=1, kind="stable"), np.arange(len(coarse))[None, :].repeat(len(q), axis=0), axis=1)
+    at = np.array([r.q for r in true], np.int64)
+    reached = np.bincount(place[at, np.array([r.list for r in true], np.int64)], weights=1 / np.bincount(at, minlength=len(q))[at], minlength=len(coarse)) if true else np.zeros(len(coarse))
+    share = np.cumsum(reached) / max(len(np.unique(at)), 1)
+    return int(min(np.searchsorted(share, goal) + 1, len(coarse)))
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = K, probes: int | None = None, rerank: int = RERANK, cell: int = CELL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``. probes: lists that a
+    query visits, measured if not given."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     schema = "query_id long, rank int, vec_id long, score double"
@@ -137,30 +189,31 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     unique = rows.where(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     sample = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     x = np.array([r.vec for r in sorted(sample, key=lambda r: r.vec_id)], np.float32)
-    index = fit(x, max(1, min(MAX_LISTS, len(x) // 16, int(2 * n**0.5))))
-    shared = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and SUBSPACES * CODES code words
+    index = fit(x, max(1, min(MAX_LISTS, len(x) // 16, max(LEAST_LISTS, n // LIST))))
+    shared = Shared(spark, index)  # at most MAX_LISTS centroids and SUBSPACES * CODES code words
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for b in batches:
-            lists, codes = shared.value.encode(_matrix(b.column(1), dim))
+            lists, codes = index.encode(_matrix(b.column(1), dim))
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["list", "vec_id", "code", "vec"])
 
     coded = scratch.keep(unique.mapInArrow(encode, "list int, vec_id long, code binary, vec array<float>"))
     in_list = {r.list: r.n for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     counts = np.array([in_list.get(i, 0) for i in range(len(index.coarse))], np.int64)
+    visited = probes if probes is not None else probes_for(coded, index.coarse, counts, dim, every, k)
     known = spark.sparkContext.broadcast(counts)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for b in batches:
             q = _matrix(b.column(1), dim)
-            near = q.astype(np.float64) @ shared.value.coarse.T.astype(np.float64)
+            near = q.astype(np.float64) @ index.coarse.T.astype(np.float64)
             lists, who = [], []
             for i, row in enumerate(near):
                 row = np.where(known.value > 0, row, -np.inf)
-                order = np.argsort(-row, kind="stable")
-                held = np.cumsum(known.value[order])
-                need = max(probes, int(np.searchsorted(held, ENOUGH)) + 1)
-                order = order[:need][known.value[order[:need]] > 0]
+                order = np.argsort(-row, kind="stable")[:visited]
+                order = order[known.value[order] > 0]
                 lists += order.tolist()
                 who += [i] * len(order)
             take = pa.array(who, pa.int64())

@@ -40,7 +40,7 @@ def test_small_tables_are_searched_exactly(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [None] + [1.0] * 15), (1004, [float("inf")] * 16), (None, rows[0][1]), (1020, []), rows[40], rows[40]]
     rows += [(2000 + i, rows[7][1]) for i in range(60)]  # many equal vectors: ties
-    got, want = found(A.nearest(frame(spark, rows), probes=64)), brute(rows)
+    got, want = found(A.nearest(frame(spark, rows), probes=64, rerank=400)), brute(rows)
     assert got.keys() == want.keys()
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
@@ -68,3 +68,16 @@ def test_fewer_rows_than_asked(spark):
     assert found(A.nearest(frame(spark, rows))) == brute(rows)
     assert A.nearest(frame(spark, [(0, [1.0])])).count() == 0
     assert A.nearest(frame(spark, []).limit(0)).count() == 0
+
+
+def test_spread_vectors_take_more_lists(spark):
+    """Without clusters the lists that are near hold few of the neighbours: more of them are visited."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (5000, 32)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(10_000 + i, [float(c) for c in x[1]]) for i in range(1000)]
+    got, want = found(A.nearest(frame(spark, rows))), brute(rows)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.95
+
+
+def test_best_takes_the_earlier_of_equals():
+    assert A._best(np.array([1.0, 3.0, 2.0, 3.0, 2.0, 2.0]), 4).tolist() == [1, 3, 2, 4]
