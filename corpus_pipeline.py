@@ -2,8 +2,8 @@
 to source weights, and piece ids. Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all
 but the last return the columns of docs.
 
-Stage results: documents that fail a quality rule go; of each near-duplicate group the document with the smallest id
-stays; bytes of repeated passages are cut from all but their first text; documents are repeated or dropped so that
+Stage results: documents that fail a quality rule go; of each near-duplicate group (fingerprints within op 3's two bits, or
+a Jaccard similarity of 0.8 or more on five-word shingles) the document with the smallest id stays; bytes of repeated passages are cut from all but their first text; documents are repeated or dropped so that
 sources meet their weights; texts become sampled piece ids, checked to decode to the text. Rows that repeat an id share
 that id's decision. Rows with a null id are judged by the rules and pass the other stages unchanged, but for mixing.
 """
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import mixing, pieces, quality_rules, repeats, simhash
+from fieldglass.llm import mixing, near_copies, pieces, quality_rules, repeats, simhash
 from fieldglass.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy_id")).distinct()
+    found = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id"))
+    edges = found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(near_copies.pairs(docs))
+    joined = simhash.components(edges, Scratch(spark, "copies"))
+    copies = joined.where(F.col("node") != F.col("component")).select(F.col("node").alias("_copy_id")).distinct()
     return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy_id"], "left_anti")
 
 
