@@ -118,9 +118,10 @@ def frequent_lines(feats: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     return counted.join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs")).select("line")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_boiler_words, kept, and content (a hash); one row for each row of docs."""
-    feats = Scratch(docs.sparkSession, "rules").keep(features(docs))
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT, feats: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_boiler_words, kept, and content (a hash); one row for each row of docs.
+    feats: the features of docs, if they are at hand."""
+    feats = Scratch(docs.sparkSession, "rules").keep(features(docs)) if feats is None else feats
     lines = feats.select("doc_id", "content", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("doc_id", "content", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
     # A set, as rows that repeat a document hold the same lines. It is gathered by document, a dealing other than the
     # join's, so that the join may split a hot line.
@@ -152,10 +153,11 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return joined.where(F.col("_rejected").isNull() | ~F.array_contains(F.coalesce("_rejected", F.array().cast("array<long>")), content)).select(*[docs[c] for c in docs.columns])
 
 
-def strip_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def strip_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, feats: DataFrame | None = None) -> DataFrame:
     """The rows of docs with lines above the limit taken out of their texts. (A set of line hashes travels with each
-    document that needs one, so nothing is broadcast.)"""
-    feats = Scratch(docs.sparkSession, "strip").keep(features(docs))
+    document that needs one, so nothing is broadcast.) feats: the features of all documents that lines are counted in,
+    docs among them, if they aren't docs alone."""
+    feats = Scratch(docs.sparkSession, "strip").keep(features(docs)) if feats is None else feats
     lines = feats.select("doc_id", F.explode("line_keys").alias("line")).join(frequent_lines(feats, min_docs, share), "line")
     out_of = lines.groupBy(F.col("doc_id").alias("_strip_id")).agg(F.collect_set("line").alias("_strip_lines"))
     joined = docs.join(out_of, docs["doc_id"].cast("long").eqNullSafe(out_of["_strip_id"]), "left")

@@ -42,6 +42,15 @@ def test_stages_take_effect(spark, folder):
     assert {r.text for r in pieces.decode(coded).collect()} == {r.text for r in seen["mixing sources to target weights"]}
 
 
+def test_frequent_lines_leave_kept_documents(spark):
+    letters = lambda i: chr(97 + i // 10) + chr(97 + i % 10)  # noqa: E731  (digits are folded in lines)
+    own = lambda i: " ".join(letters(i) + letters(k) for k in range(60))
+    rows = [(i, f"{own(i)}\nshared footer of the host", "s") for i in range(40)] + [(50 + i, own(50 + i), "t") for i in range(3)] + [(None, f"shared footer of the host\n{own(99)}", "s"), (60, "too short", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {(r.doc_id, r.text) for r in C.quality(spark, df, "").collect()}
+    assert got == {(i, own(i)) for i in [*range(40), 50, 51, 52]} | {(None, own(99))}
+
+
 def test_run_gives_the_last_stage(spark, folder):
     got = C.run(spark, folder[0])
     assert got.columns == ["doc_id", "n_pieces", "piece_ids", "lossless"] and got.count() > 200
