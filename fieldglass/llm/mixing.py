@@ -32,14 +32,16 @@ MAX_SOURCES = 1_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the words of the whole text."""
+    """doc_id, source and size: the words of the whole text; and row and tie, null where docs has no _mix_row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(t.split()) if t else 0 for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3), b.column(4)], ["doc_id", "source", "size", "row", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, source string, size long")
+    text, keyed = F.col("text").cast("string"), "_mix_row" in docs.columns
+    row, tie = (F.col("_mix_row"), F.xxhash64(text)) if keyed else (F.lit(None).cast("long"),) * 2
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"), row.alias("row"), tie.alias("tie")).mapInArrow(count, "doc_id long, source string, size long, row long, tie long")
 
 
 def targets(size_by_source: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> list[float]:
@@ -94,7 +96,7 @@ def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
 
 def _level(level: int, seed: int):
     def step(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("n", "ascending")])
+        group = group.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("n", "ascending"), ("tie", "ascending"), ("row", "ascending")])
         h = group.column("h").to_numpy().view(np.uint64)
         size, p = group.column("size").to_numpy().astype(float), group.column("p").to_numpy().astype(float)
         u = (_mix(_mix(h + np.uint64(level + 1)) + np.uint64(seed) + np.arange(len(h), dtype=np.uint64)) >> np.uint64(11)) / 2.0**53
@@ -108,7 +110,7 @@ def _level(level: int, seed: int):
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """doc_id, size, source_size, target and copies, one row for each row of docs."""
+    """doc_id, size, source_size, target and copies, one row for each row of docs; and row, if docs has a _mix_row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     sized = scratch.keep(sizes(docs))
@@ -127,8 +129,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     known = known.withColumn("each", each).withColumn("whole", F.floor("each").cast("int"))
     known = known.withColumn("p", F.when(F.col("size") > 0, F.col("each") - F.col("whole")).otherwise(F.lit(0.0)))
     known = known.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("g", F.pmod(F.col("h"), F.col("groups"))).withColumn("n", F.lit(1).cast("long"))
-    cols = ["doc_id", "size", "source_no", "source_size", "target", "whole", "p", "h", "n"]
-    schema = "doc_id long, size long, source_no int, source_size long, target double, whole int, p double, h long, n long, open boolean"
+    cols = ["doc_id", "size", "source_no", "source_size", "target", "whole", "p", "h", "n", "row", "tie"]
+    schema = "doc_id long, size long, source_no int, source_size long, target double, whole int, p double, h long, n long, row long, tie long, open boolean"
     done, level, todo = [], 0, known.select(*cols, "g")
     count = max([1, *groups])
     while True:
@@ -144,15 +146,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     for d in done[1:]:
         rounded = rounded.unionByName(d)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p").cast("int")).otherwise(F.lit(0))
-    return rounded.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return rounded.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), *(["row"] if "_mix_row" in docs.columns else []))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that share an id all get the rounded mean of their counts."""
-    chosen = plan(docs, **options).groupBy("doc_id").agg((F.sum("copies") / F.count("*")).alias("_mix_copies")).withColumnRenamed("doc_id", "_mix_id")
-    out = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_mix_id"]))
-    again = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("_mix_copies").cast("int"))))
-    return out.where(F.round("_mix_copies") >= 1).withColumn("_mix_turn", again).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it. Rows are numbered in a table of their own, so that rows without
+    an id, or that share one, each take their own count."""
+    rows = Scratch(docs.sparkSession, "rows").keep(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    chosen = plan(rows, **options).where("copies > 0").select(F.col("row").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
+    out = rows.join(chosen, rows["_mix_row"] == chosen["_mix_id"])
+    return out.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

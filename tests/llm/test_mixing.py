@@ -75,6 +75,17 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     assert abs(n - 75) <= 1 and out.where("text IS NULL").count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_meet_their_sources_targets(spark):
+    rows = [(None if i % 2 else 7, f"w{i} " + "w " * 9, "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = brute_targets(dict.fromkeys("abc", 1000))
+    out = M.mix(df).collect()
+    for s in "abc":
+        assert abs(sum(10 for r in out if r.source == s) - want[s]) <= 10
+    again = M.mix(df.repartition(2)).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, target double")
     assert M.plan(df).count() == 0 and M.mix(df).count() == 0
