@@ -286,10 +286,67 @@ def _scan_collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield _batch(COVERED, **dict(zip(("doc", "a", "b"), _merge(*map(np.concatenate, (d, a, b))), strict=True)))
 
 
+#: A string of a group in one context: its hash and length, the context's gram, document and anchor, its place in the context.
+PLACED = "key binary, length int, h long, doc long, a long, at int"
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["key", "length", "h", "doc", "a", "at"])
+
+
+def _key(string: bytes) -> bytes:
+    return hashlib.blake2b(string, digest_size=16).digest()
+
+
+def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h, hc, doc, place, low, high = anchors(b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, hc, doc, _packed(place, low, high))], ["h", "hc", "doc", "a"])
+
+
+def _own_places(string: bytes) -> set[int]:
+    return set(anchors([0], [string])[3].tolist())
+
+
 def _list_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _collections(batches):
-        for length, docs, starts in repeats_of(*found):
-            yield pa.RecordBatch.from_pydict({"length": pa.array([length], pa.int32()), "docs": pa.array([docs.tolist()], pa.list_(pa.int64())), "starts": pa.array([starts.tolist()], pa.list_(pa.int64()))})
+    """Maximal repeats of whole grams, and each context as a whole. A string that isn't anchored at the gram of its context
+    can stand elsewhere without it: the gram that anchors it lists it."""
+
+    def listed(h: list[int], doc: list[int], a: list[int], contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield _placed([(_key(c), len(c), h[i], doc[i], a[i], 0) for i, c in enumerate(contexts)])
+        sa = SuffixArray(contexts, LENGTH, LENGTH + _REACH)
+        for length, at in sa.maximal_repeats():
+            own = sa.owner[at].tolist()
+            offset = (at - sa.first[sa.owner[at]]).tolist()
+            string = contexts[own[0]][offset[0] : offset[0] + length]
+            places = _own_places(string)
+            if any(((a[i] >> 8) & 255) - o in places for i, o in zip(own, offset, strict=True)):
+                key = _key(string)
+                yield _placed([(key, length, h[i], doc[i], a[i], o) for i, o in zip(own, offset, strict=True)])
+
+    h, doc, a, contexts, size = [], [], [], [], 0
+    for b in batches:
+        for x, d, p, c in zip(*(k.to_pylist() for k in b.columns), strict=True):
+            if size >= COLLECTION and x != h[-1]:
+                yield from listed(h, doc, a, contexts)
+                h, doc, a, contexts, size = [], [], [], [], 0
+            h.append(x)
+            doc.append(d)
+            a.append(p)
+            contexts.append(c)
+            size += len(c)
+    if contexts:
+        yield from listed(h, doc, a, contexts)
+
+
+def _hot_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a context that is anchored at the context's gram."""
+    for b in batches:
+        for x, d, p, c in zip(*(k.to_pylist() for k in b.columns), strict=True):
+            windows = [(i, c[i : i + LENGTH]) for i in range(len(c) - LENGTH + 1)]
+            yield _placed([(_key(w), LENGTH, x, d, p, i) for i, w in windows if ((p >> 8) & 255) - i in _own_places(w)])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +392,25 @@ class Finder:
         return contexts.join(hot, "h", "left_anti"), contexts.join(hot, "h", "left_semi")
 
     def groups(self) -> DataFrame:
-        """length, docs, starts: maximal repeats with all occurrences among the different contexts of a gram (of equal
-        contexts only the first is listed; a repeat longer than a context is listed by the part inside it)."""
-        few, _ = self.split(self.contexts()[1])
-        return _sorted(few, self.n, "doc", "a").mapInArrow(_list_groups, "length int, docs array<long>, starts array<long>")
+        """length, docs, starts: maximal repeats inside contexts, each with all its occurrences in the table. Of a gram with over
+        HOT contexts each repeated window of LENGTH bytes is a group. (A repeat longer than a context is listed by its parts.)"""
+        rows = self.scratch.keep(self.docs.mapInArrow(_all_anchors, "h long, hc long, doc long, a long").distinct())
+        first = F.min(F.struct("doc", "a")).alias("first")
+        classes = rows.groupBy("h", "hc").agg(first, F.count("*").alias("n"))
+        # A gram that stands once has no repeat; the others' contexts are read once for each class of equal ones.
+        several = rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+        classes = self.scratch.keep(classes.join(several, "h").select("h", "hc", F.col("first.doc").alias("doc"), F.col("first.a").alias("a")))
+        wanted = classes.groupBy("doc").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
+        texts = self.docs.dropDuplicates(["doc_id", "text"]).join(wanted, F.col("doc_id") == F.col("doc")).select("text", "doc", "h", "a")
+        few, hot = self.split(self.scratch.keep(texts.mapInArrow(_fetch, CONTEXT)))
+        placed = _sorted(few, self.n, "doc", "a").mapInArrow(_list_groups, PLACED).unionByName(hot.mapInArrow(_hot_groups, PLACED))
+        # What stands in the first of a class of equal contexts stands in all of them.
+        members = rows.withColumnRenamed("doc", "_doc").withColumnRenamed("a", "_a")
+        found = placed.join(classes, ["h", "doc", "a"]).join(members, ["h", "hc"])
+        start = F.shiftright("_a", 16) - F.shiftright("_a", 8).bitwiseAND(255) + F.col("at")
+        at = F.sort_array(F.collect_set(F.struct(F.col("_doc").alias("doc"), start.alias("start"))))
+        whole = found.groupBy("key", "length").agg(at.alias("at")).where(F.size("at") > 1)
+        return whole.select("length", F.col("at.doc").alias("docs"), F.col("at.start").alias("starts"))
 
     def covered(self) -> DataFrame:
         """doc, a, b: intervals of bytes that a repeated string covers, except in its first occurrence. They may overlap."""

@@ -57,6 +57,30 @@ def test_digest_matches_brute_force(spark, monkeypatch, seed, hot, segment):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 3)])
+def test_groups_list_all_occurrences(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    docs = corpus(seed)
+    raw = {d: (t or "").encode() for d, t in docs if d is not None}
+    where = {}
+    for d, t in raw.items():
+        for i in range(len(t) - 99):
+            where.setdefault(t[i : i + 100], set()).add((d, i))
+    open_ = {w for w, at in where.items() if len(at) > 1}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen = set()
+    for r in repeats.Finder(df).groups().collect():
+        at = list(zip(r.docs, r.starts, strict=True))
+        d, i = at[0]
+        s = raw[d][i : i + r.length]
+        assert len(s) == r.length >= 100 and s not in seen
+        seen.add(s)
+        every = {(d, i) for d, i in where[s[:100]] if raw[d][i : i + r.length] == s}
+        assert len(at) > 1 and set(at) == every and len(at) == len(every)
+        open_ -= {s[k : k + 100] for k in range(len(s) - 99)}
+    assert seen and not open_
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, a long, doc long, h string")
     assert repeats.digest(df).count() == 0
