@@ -12,7 +12,10 @@ every repeat of LENGTH bytes:
 3. Different contexts of one gram, that is, the ends of copied passages. Only their bytes are fetched. The collection of
    all contexts of a gram gets an enhanced suffix array; a stack scan of its common-prefix intervals, with the test for
    different bytes to the left, gives maximal repeats with all occurrences. All but the first occurrence are covered.
-   (A gram with over HOT different contexts is split further: each of its windows is dealt by its own hash.)
+   Two contexts of a gram hold a common window only if they agree on the SIDE = 34 bytes before the gram, or on the 34 after
+   it, as a window has that many on one of its sides. Contexts that agree with no other are left out, and what is left is
+   taken side by side, so an array spans few contexts. A gram with over HOT different contexts is dealt out by its sides
+   first; of sides with over HOT contexts still, each window is dealt by its own hash.
 4. Covered intervals meet their text, which is cut.
 
 Order is by (doc_id, start) throughout. Equality in steps 2 and for HOT grams is by 128 bits of hash, in step 3 by bytes.
@@ -39,6 +42,7 @@ LENGTH, GRAM, HOT = 100, 32, 20_000
 #: Window starts in a segment of the anchor scan, and bytes of contexts under one suffix array.
 SEGMENT, COLLECTION = 1 << 17, 1 << 20
 _REACH = LENGTH - GRAM  # how far an anchor can stand from the start of its window
+SIDE = _REACH // 2
 #: kind: an anchor of a context (to be matched), a covered interval, a context whose bytes are wanted.
 ANCHOR, COVERED, WANTED = 0, 1, 2
 _TABLE = np.random.default_rng(2024).integers(1, 2**64, 256, dtype=np.uint64)
@@ -245,55 +249,88 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.binary())], ["h", "doc", "a", "context"])
 
 
-def repeats_of(doc: np.ndarray, start: np.ndarray, contexts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats among contexts: (length, documents, starts) of all occurrences, in order, each place once."""
-    sa = SuffixArray(contexts, LENGTH, LENGTH + _REACH)
-    for length, at in sa.maximal_repeats():
-        own = sa.owner[at]
-        d, s = doc[own], start[own] + at - sa.first[own]
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])]
-        if new.sum() > 1:
-            yield length, d[new], s[new]
-
-
-def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Whole grams, several at a time up to COLLECTION bytes. Batches are sorted by h."""
-    h, doc, start, contexts, size = [], [], [], [], 0
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """h, doc, a and contexts of one gram (or side of a hot gram) after the other. Batches are sorted by h."""
+    held: tuple[list, ...] = ([], [], [], [])
     for b in batches:
-        for x, d, a, c in zip(*(k.to_pylist() for k in b.columns), strict=True):
-            if size >= COLLECTION and x != h[-1]:
-                yield np.array(doc, np.int64), np.array(start, np.int64), contexts
-                h, doc, start, contexts, size = [], [], [], [], 0
-            h.append(x)
-            doc.append(d)
-            start.append((a >> 16) - ((a >> 8) & 255))
-            contexts.append(c)
-            size += len(c)
-    if contexts:
-        yield np.array(doc, np.int64), np.array(start, np.int64), contexts
+        columns = [k.to_pylist() for k in b.columns]
+        h = b.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]).tolist() if len(h) else []
+        for i, j in zip(starts, [*starts[1:], len(h)], strict=True):
+            if held[0] and held[0][-1] != columns[0][i]:
+                yield held
+                held = ([], [], [], [])
+            for to, column in zip(held, columns, strict=True):
+                to += column[i:j]
+    if held[0]:
+        yield held
+
+
+def _left(a: int) -> int:
+    """Bytes of a context before its gram."""
+    return (a >> 8) & 255
+
+
+def _sides(a: list[int], contexts: list[bytes]) -> list[list[int]]:
+    """Indices of contexts of one gram that agree on the SIDE bytes before it, or on those after it: groups of two or more.
+    Any window that two contexts share at the gram is shared inside a group."""
+    groups: dict[tuple[bool, bytes], list[int]] = {}
+    for i, (p, c) in enumerate(zip(a, contexts, strict=True)):
+        at = _left(p)
+        if at >= SIDE:
+            groups.setdefault((True, c[at - SIDE : at]), []).append(i)
+        if len(c) >= at + GRAM + SIDE:
+            groups.setdefault((False, c[at + GRAM : at + GRAM + SIDE]), []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
+
+
+def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """Contexts that may share windows: whole sides, several at a time up to COLLECTION bytes."""
+    out: tuple[list, ...] = ([], [], [], [])
+    size = 0
+    for gram in _grams_of(batches):
+        for group in _sides(gram[2], gram[3]):
+            for to, column in zip(out, gram, strict=True):
+                to += map(column.__getitem__, group)
+            size += sum(len(gram[3][i]) for i in group)
+            if size >= COLLECTION:
+                yield out
+                out, size = ([], [], [], []), 0
+    if size:
+        yield out
+
+
+def _later(doc: np.ndarray, start: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, a, b: bytes of maximal repeats among contexts, without those of their first occurrences."""
+    sa = SuffixArray(contexts, LENGTH, LENGTH + _REACH)
+    at = sa.order
+    d, s = doc[sa.owner[at]], start[sa.owner[at]] + at - sa.first[sa.owner[at]]
+    order = np.lexsort((s, d))
+    new = np.r_[False, (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])] if len(at) else np.zeros(0, bool)
+    place = np.zeros(sa.n, np.int64)
+    place[at[order]] = np.cumsum(new)
+    at, length = sa.later(place)
+    own = sa.owner[at]
+    begin = start[own] + at - sa.first[own]
+    return doc[own], begin, begin + length
 
 
 def _scan_collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _collections(batches):
-        d, a, b = [], [], []
-        for length, docs, starts in repeats_of(*found):
-            d.append(docs[1:])
-            a.append(starts[1:])
-            b.append(starts[1:] + length)
-        if d:
-            yield _batch(COVERED, **dict(zip(("doc", "a", "b"), _merge(*map(np.concatenate, (d, a, b))), strict=True)))
+    for _, doc, a, contexts in _collections(batches):
+        place = np.array(a, np.int64)
+        found = _later(np.array(doc, np.int64), (place >> 16) - ((place >> 8) & 255), contexts)
+        if len(found[0]):
+            yield _batch(COVERED, **dict(zip(("doc", "a", "b"), _merge(*found), strict=True)))
 
 
-#: A string of a group in one context: its hash and length, the context's gram, document and anchor, its place in the context.
-PLACED = "key binary, length int, h long, doc long, a long, at int"
+#: A string of a group in one context: its hash and length, the context's document and anchor, its place in the context.
+PLACED = "key binary, length int, doc long, a long, at int"
 
 
 def _placed(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["key", "length", "h", "doc", "a", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["key", "length", "doc", "a", "at"])
 
 
 def _key(string: bytes) -> bytes:
@@ -311,51 +348,47 @@ def _own_places(string: bytes) -> set[int]:
 
 
 def _list_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Maximal repeats of whole grams, and each context as a whole. A string that isn't anchored at the gram of its context
-    can stand elsewhere without it: the gram that anchors it lists it."""
-
-    def listed(h: list[int], doc: list[int], a: list[int], contexts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        yield _placed([(_key(c), len(c), h[i], doc[i], a[i], 0) for i, c in enumerate(contexts)])
+    """Maximal repeats of whole grams. A string that isn't anchored at the gram of its context can
+    stand elsewhere without it: the gram that anchors it lists it."""
+    for _, doc, a, contexts in _collections(batches):
         sa = SuffixArray(contexts, LENGTH, LENGTH + _REACH)
         for length, at in sa.maximal_repeats():
             own = sa.owner[at].tolist()
             offset = (at - sa.first[sa.owner[at]]).tolist()
             string = contexts[own[0]][offset[0] : offset[0] + length]
             places = _own_places(string)
-            if any(((a[i] >> 8) & 255) - o in places for i, o in zip(own, offset, strict=True)):
+            if any(_left(a[i]) - o in places for i, o in zip(own, offset, strict=True)):
                 key = _key(string)
-                yield _placed([(key, length, h[i], doc[i], a[i], o) for i, o in zip(own, offset, strict=True)])
+                yield _placed([(key, length, doc[i], a[i], o) for i, o in zip(own, offset, strict=True)])
+
 
-    h, doc, a, contexts, size = [], [], [], [], 0
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each context as a whole: what equal contexts share."""
     for b in batches:
-        for x, d, p, c in zip(*(k.to_pylist() for k in b.columns), strict=True):
-            if size >= COLLECTION and x != h[-1]:
-                yield from listed(h, doc, a, contexts)
-                h, doc, a, contexts, size = [], [], [], [], 0
-            h.append(x)
-            doc.append(d)
-            a.append(p)
-            contexts.append(c)
-            size += len(c)
-    if contexts:
-        yield from listed(h, doc, a, contexts)
+        yield _placed([(_key(c), len(c), d, p, 0) for d, p, c in zip(*(k.to_pylist() for k in b.columns[1:]), strict=True)])
 
 
 def _hot_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of a context that is anchored at the context's gram."""
     for b in batches:
-        for x, d, p, c in zip(*(k.to_pylist() for k in b.columns), strict=True):
+        for d, p, c in zip(*(k.to_pylist() for k in b.columns[1:]), strict=True):
             windows = [(i, c[i : i + LENGTH]) for i in range(len(c) - LENGTH + 1)]
-            yield _placed([(_key(w), LENGTH, x, d, p, i) for i, w in windows if ((p >> 8) & 255) - i in _own_places(w)])
+            yield _placed([(_key(w), LENGTH, d, p, i) for i, w in windows if _left(p) - i in _own_places(w)])
+
+
+def _over(a: int, context: bytes, before: bool) -> range:
+    """Where windows of a context start that hold its gram and the SIDE bytes before, or after, it."""
+    at, end = _left(a), len(context) - LENGTH + 1
+    return range(min(at - SIDE + 1, end)) if before else range(max(0, at + GRAM + SIDE - LENGTH), min(at + 1, end))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context under a 128-bit hash of its own, as an anchor row that reaches just over the window."""
+    """Every window over a hot side under a 128-bit hash of its own, as an anchor row that reaches just over the window."""
     for b in batches:
         h, hc, doc, a = [], [], [], []
-        for d, place, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            start = (place >> 16) - ((place >> 8) & 255)
-            for i in range(len(c) - LENGTH + 1):
+        for d, place, c, before in zip(*(k.to_pylist() for k in b.columns[1:]), strict=True):
+            start = (place >> 16) - _left(place)
+            for i in _over(place, c, before):
                 x = hashlib.blake2b(c[i : i + LENGTH], digest_size=16).digest()
                 h.append(int.from_bytes(x[:8], "little", signed=True))
                 hc.append(int.from_bytes(x[8:], "little", signed=True))
@@ -388,9 +421,21 @@ class Finder:
 
     def split(self, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Contexts of grams that fit one suffix array, and those of hot grams."""
-        hot = self.scratch.keep(contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h"))
+        hot = self.scratch.keep(contexts.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("h"))
         return contexts.join(hot, "h", "left_anti"), contexts.join(hot, "h", "left_semi")
 
+    def sides(self, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Contexts of hot grams dealt out by their sides: those of sides that fit one suffix array; those of hot sides, with the side."""
+        at = F.shiftright("a", 8).bitwiseAND(255).cast("int")
+        before = F.when(at >= SIDE, F.xxhash64("h", F.lit(1), F.substring("context", at - SIDE + 1, F.lit(SIDE))))
+        after = F.when(F.length("context") >= at + GRAM + SIDE, F.xxhash64("h", F.lit(2), F.substring("context", at + GRAM + 1, F.lit(SIDE))))
+        both = F.array(F.struct(before.alias("h"), F.lit(True).alias("before")), F.struct(after.alias("h"), F.lit(False).alias("before")))
+        sides = hot.withColumn("_side", F.explode(both)).where("_side.h IS NOT NULL")
+        sides = self.scratch.keep(sides.select("_side.h", "doc", "a", "context", "_side.before"))
+        known = self.scratch.keep(sides.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1"))
+        few = sides.join(known.where(F.col("_n") <= HOT).select("h"), "h", "left_semi").drop("before")
+        return few, sides.join(known.where(F.col("_n") > HOT).select("h"), "h", "left_semi")
+
     def groups(self) -> DataFrame:
         """length, docs, starts: maximal repeats inside contexts, each with all its occurrences in the table. Of a gram with over
         HOT contexts each repeated window of LENGTH bytes is a group. (A repeat longer than a context is listed by its parts.)"""
@@ -402,11 +447,13 @@ class Finder:
         classes = self.scratch.keep(classes.join(several, "h").select("h", "hc", F.col("first.doc").alias("doc"), F.col("first.a").alias("a")))
         wanted = classes.groupBy("doc").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
         texts = self.docs.dropDuplicates(["doc_id", "text"]).join(wanted, F.col("doc_id") == F.col("doc")).select("text", "doc", "h", "a")
-        few, hot = self.split(self.scratch.keep(texts.mapInArrow(_fetch, CONTEXT)))
+        contexts = self.scratch.keep(texts.mapInArrow(_fetch, CONTEXT))
+        few, hot = (self.scratch.keep(x) for x in self.split(contexts))
         placed = _sorted(few, self.n, "doc", "a").mapInArrow(_list_groups, PLACED).unionByName(hot.mapInArrow(_hot_groups, PLACED))
+        placed = placed.unionByName(few.mapInArrow(_whole, PLACED))
         # What stands in the first of a class of equal contexts stands in all of them.
         members = rows.withColumnRenamed("doc", "_doc").withColumnRenamed("a", "_a")
-        found = placed.join(classes, ["h", "doc", "a"]).join(members, ["h", "hc"])
+        found = placed.join(classes, ["doc", "a"]).join(members, ["h", "hc"])
         start = F.shiftright("_a", 16) - F.shiftright("_a", 8).bitwiseAND(255) + F.col("at")
         at = F.sort_array(F.collect_set(F.struct(F.col("_doc").alias("doc"), start.alias("start"))))
         whole = found.groupBy("key", "length").agg(at.alias("at")).where(F.size("at") > 1)
@@ -416,6 +463,8 @@ class Finder:
         """doc, a, b: intervals of bytes that a repeated string covers, except in its first occurrence. They may overlap."""
         done, contexts = self.contexts()
         few, hot = self.split(contexts)
+        dealt, hot = self.sides(hot)
+        few = few.unionByName(dealt)
         ends = self.scratch.keep(_sorted(few, self.n, "doc", "a").mapInArrow(_scan_collections, SCHEMA))
         rest = _sorted(hot.mapInArrow(_windows, SCHEMA), self.n, "hc", "doc", "a").mapInArrow(lambda it: _resolve(it, False), SCHEMA)
         out = done.unionByName(ends).unionByName(rest)

@@ -47,7 +47,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,segment", [(1, 20_000, 1 << 17), (2, 3, 64), (3, 10, 300)])
+@pytest.mark.parametrize("seed,hot,segment", [(1, 20_000, 1 << 17), (2, 3, 64), (3, 10, 300), (4, 20, 1 << 17)])
 def test_digest_matches_brute_force(spark, monkeypatch, seed, hot, segment):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SEGMENT", segment)
@@ -57,7 +57,7 @@ def test_digest_matches_brute_force(spark, monkeypatch, seed, hot, segment):
     assert got == brute(docs)
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 3)])
+@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 3), (3, 12)])
 def test_groups_list_all_occurrences(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     docs = corpus(seed)
