@@ -4,16 +4,19 @@ Coarse centroids and the residuals' codebooks are fitted on the driver, on at mo
 hash of their id). Every vector is indexed: its list is that of its nearest centroid, and its residual is coded with a byte
 for each of SUBSPACES parts. A query visits the lists whose centroids have the largest inner product with it. How many is
 measured: for TRIALS of the queries the true neighbours are found by brute force over all rows, and the fewest lists are
-taken that hold at least GOAL of them on average. In a list a query adds one table entry for each code byte to the
-centroid's product (asymmetric distances: the query itself isn't quantised), and the RERANK best are scored exactly, in
-double precision, on the original vectors. The nearest of all lists are the answer.
+taken that hold at least GOAL of them on average. A query whose lists hold too few rows goes on to further lists until they
+hold k candidates, so it returns k, or all there are. In a list a query adds one table entry for each code byte to the
+centroid's product (asymmetric distances: the query itself isn't quantised), and the rows of the RERANK best codes are
+scored exactly, in double precision, on the original vectors: many copies of one vector are one code, so they don't keep
+other rows from being scored. The nearest of all lists are the answer.
 
 A list is searched in cells: blocks of at most CELL vectors by at most CELL queries. A vector that a third of all rows
 hold makes one long list of many cells, never one large task. Ties go to the smaller id at every step: equal vectors have
 equal codes and equal sums.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
-part, nor do rows without an id. Rows that repeat an id count once (the smallest vector). A query that finds fewer than k
+Defined cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id.
+An inner product needs equal lengths, so vectors of each length are indexed and searched among themselves. Vectors of doubles
+are kept and scored as doubles. Rows that repeat an id count once (the smallest vector). A query that has fewer than k
 candidates returns them all. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -96,11 +99,12 @@ def fit(x: np.ndarray, lists: int, seed: int = SEED) -> Index:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<float>")
+    kept = vectors.select(vector_col).dtypes[0][1]
+    v = F.col(vector_col).cast(kept if kept == "array<float>" else "array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec")).where("vec_id IS NOT NULL AND vec IS NOT NULL")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(~bad).where(F.exists("vec", lambda x: x != 0))
@@ -117,7 +121,12 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
 
 def _search_cell(index: Index, codes: np.ndarray, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> tuple[list, list, list]:
     order = np.argsort(ids, kind="stable")  # ties then go to the smaller id
-    codes, ids, x = codes[order].astype(np.int64), ids[order], x[order].astype(np.float64)
+    codes, ids, x = codes[order], ids[order], x[order].astype(np.float64)
+    _, first, code_of = np.unique(codes.view(f"V{SUBSPACES}").ravel(), return_index=True, return_inverse=True)
+    codes = codes[first].astype(np.int64)
+    by_code = np.argsort(code_of, kind="stable")
+    many = np.bincount(code_of, minlength=len(first))
+    start = np.cumsum(many) - many
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(q), 64):
         some = q[at : at + 64]
@@ -128,7 +137,9 @@ def _search_cell(index: Index, codes: np.ndarray, ids: np.ndarray, x: np.ndarray
             near += tables[:, part][:, codes[:, part]]
         for i, row in enumerate(near):
             me = q_ids[at + i]
-            best = _best(row, rerank + 1)
+            codes_best = _best(row, rerank + 1)
+            n = many[codes_best]
+            best = by_code[np.repeat(start[codes_best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             best = best[ids[best] != me]
             score = (x[best] * some[i].astype(np.float64)).sum(axis=1)
             top = np.lexsort((ids[best], -score))[:k]
@@ -179,15 +190,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``. probes: lists that a
     query visits, measured if not given."""
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = _valid(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim, n = sizes[0]
-    unique = rows.where(F.size("vec") == dim).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    sample = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    rows = _valid(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    found = None
+    for dim, n in sorted(map(tuple, rows.groupBy(F.size("vec")).count().collect())):
+        some = _nearest_of(rows.where(F.size("vec") == dim), dim, n, every, k, probes, rerank, cell)
+        found = some if found is None else found.unionByName(some)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _nearest_of(unique: DataFrame, dim: int, n: int, every: int, k: int, probes: int | None, rerank: int, cell: int) -> DataFrame:
+    """As ``nearest``, among n vectors of one length: vec_id, each once, and vec."""
+    spark = unique.sparkSession
+    scratch = Scratch(spark, "ann")
+    vector = dict(unique.dtypes)["vec"]
+    sample = unique.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     x = np.array([r.vec for r in sorted(sample, key=lambda r: r.vec_id)], np.float32)
     index = fit(x, max(1, min(MAX_LISTS, len(x) // 16, max(LEAST_LISTS, n // LIST))))
     shared = Shared(spark, index)  # at most MAX_LISTS centroids and SUBSPACES * CODES code words
@@ -198,7 +215,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             lists, codes = index.encode(_matrix(b.column(1), dim))
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], ["list", "vec_id", "code", "vec"])
 
-    coded = scratch.keep(unique.mapInArrow(encode, "list int, vec_id long, code binary, vec array<float>"))
+    coded = scratch.keep(unique.mapInArrow(encode, f"list int, vec_id long, code binary, vec {vector}"))
     in_list = {r.list: r.n for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     counts = np.array([in_list.get(i, 0) for i in range(len(index.coarse))], np.int64)
     visited = probes if probes is not None else probes_for(coded, index.coarse, counts, dim, every, k)
@@ -212,14 +229,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             lists, who = [], []
             for i, row in enumerate(near):
                 row = np.where(known.value > 0, row, -np.inf)
-                order = np.argsort(-row, kind="stable")[:visited]
+                order = np.argsort(-row, kind="stable")
                 order = order[known.value[order] > 0]
+                # Its own row is among the k + 1.
+                enough = int(np.searchsorted(np.cumsum(known.value[order]), k + 1)) + 1
+                order = order[: max(visited, enough)]
                 lists += order.tolist()
                 who += [i] * len(order)
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column(0).take(take), b.column(1).take(take)], ["list", "query_id", "q"])
 
-    probed = scratch.keep(coded.where(F.col("vec_id") % every == 0).select("vec_id", "vec").mapInArrow(probe, "list int, query_id long, q array<float>"))
+    probed = scratch.keep(coded.where(F.col("vec_id") % every == 0).select("vec_id", "vec").mapInArrow(probe, f"list int, query_id long, q {vector}"))
     asked = {r.list: r.n for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     cells = spark.createDataFrame([(i, -(-int(counts[i]) // cell), -(-m // cell)) for i, m in sorted(asked.items())] or [(-1, 1, 1)], "list int, row_blocks long, query_blocks long")
     cells = F.broadcast(cells)  # at most MAX_LISTS rows

@@ -81,3 +81,32 @@ def test_spread_vectors_take_more_lists(spark):
 
 def test_best_takes_the_earlier_of_equals():
     assert A._best(np.array([1.0, 3.0, 2.0, 3.0, 2.0, 2.0]), 4).tolist() == [1, 3, 2, 4]
+
+
+def test_every_query_gets_k_even_from_small_lists(spark):
+    rng = np.random.default_rng(4)
+    groups = [(rng.normal(0, 1, 16) * 3).astype(np.float32) for _ in range(11)]
+    rows = [(i, [float(c) for c in groups[0 if i < 5 else 1 + i % 10]]) for i in range(1000)]
+    got = found(A.nearest(frame(spark, rows)))
+    assert set(got) == set(range(0, 1000, 20)) and all(len(v) == 20 for v in got.values())
+
+
+def test_copies_of_one_vector_leave_room_for_others(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (2000, 16)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(5000 + i, rows[11][1]) for i in range(1000)]  # a third of all rows
+    got, want = found(A.nearest(frame(spark, rows))), brute(rows)
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hit >= 0.95 * sum(map(len, want.values()))
+
+
+def test_doubles_are_scored_as_doubles_and_lengths_apart(spark):
+    rows = [(i, [1.0 + i * 1e-12, 2.0, 0.5]) for i in range(30)] + [(100 + i, [1.0, float(i + 1)]) for i in range(5)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, list string, rank int").repartition(3)
+    got = found(A.nearest(df))
+    for q, own in ((0, rows[:30]), (20, rows[:30]), (100, rows[30:])):
+        v = dict(own)[q]
+        want = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in own if i != q))[:20]
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+        np.testing.assert_allclose([s for _, s in got[q]], [-s for s, _ in want], rtol=1e-15)
