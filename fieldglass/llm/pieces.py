@@ -39,8 +39,9 @@ from .common import Shared
 
 MODEL, TEMPER, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 23
 MARK = "\u2581".encode()
-#: Characters of text sampled at once, and the longest word that is filtered together with others.
-AT_ONCE, LONG = 1 << 20, 128
+#: Characters of text sampled at once, the longest word that is filtered together with others, and cells (12 bytes each) of
+#: the lattices filtered at once.
+AT_ONCE, LONG, CELLS = 1 << 20, 128, 1 << 22
 #: A factor for each character, which keeps sums of usual words near 1, and the range outside of which they aren't used.
 _PER_CHAR, _LEAST, _MOST = 30.0, 1e-250, 1e250
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -399,23 +400,28 @@ def sample_group(v: Vocabulary, keys: list[int | None], texts: list[str], seed:
     draws = _mix(np.repeat(hashes, count) + place.astype(np.uint64) * _ODD)
 
     spelled = Spelled(v)
-    short = np.array([len(w) < LONG for w in words], bool)
-    alone = ~short
-    pieces, per = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if short.any():
-        filtered = Filtered(v, [" " + w for w, s in zip(words, short.tolist(), strict=True) if s], spelled)
-        alone[short] = filtered.bad[filtered.rank]
-        within = np.cumsum(short) - 1
-        together = np.flatnonzero(~alone[number])
-        pieces, per = filtered.sample(within[number[together]], draws[together])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    alone = sizes > LONG
+    parts = []
+    block = np.cumsum(np.where(alone, 0, sizes * np.minimum(sizes, v.longest_chars))) // CELLS
+    for k in range(int(block[-1]) + 1):  # words of at most CELLS lattice cells, and one word more, at once
+        some = np.flatnonzero((block == k) & ~alone)
+        if not len(some):
+            continue
+        filtered = Filtered(v, [" " + words[i] for i in some.tolist()], spelled)
+        alone[some] = filtered.bad[filtered.rank]
+        within = np.full(len(words), -1, np.int64)
+        within[some[~alone[some]]] = np.flatnonzero(~alone[some])
+        at = np.flatnonzero(within[number] >= 0)
+        parts.append((at, *filtered.sample(within[number[at]], draws[at])))
     if alone.any():
         one = Lattices(v, spelled)
         where = np.zeros(len(words), np.int64)
         for i in np.flatnonzero(alone).tolist():
             where[i] = one.add((" " + words[i]).encode("utf-8", "surrogatepass"))
         apart = np.flatnonzero(alone[number])
-        more, more_per = one.sample(where[number[apart]], draws[apart])
-        pieces, per = _merged([(np.flatnonzero(~alone[number]), pieces, per), (apart, more, more_per)], len(number))
+        parts.append((apart, *one.sample(where[number[apart]], draws[apart])))
+    pieces, per = _merged(parts, len(number))
     pieces, per = spelled.expand(pieces, per)
     return pieces, np.add.reduceat(np.r_[per, 0], np.minimum(np.cumsum(count) - count, len(per))) * (count > 0)
 
