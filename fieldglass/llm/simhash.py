@@ -4,14 +4,16 @@ Every text gets a 64-bit fingerprint of its three-word shingles. Equal fingerpri
 differ in at most RADIUS = 2 bits agree on at least two of four 16-bit quarters, so each fingerprint is filed under the
 six pairs of quarters, and any link shows inside one of these bins. Within a bin the fingerprints, ordered by their
 population count, are cut into tiles; a tile is compared with each later tile by exclusive-or and bit count, unless their
-population counts differ beyond the radius. The comparison is exact: bins only say which tiles can meet. A bin above
-BIN_LIMIT distinct fingerprints is dealt out as pairs of chunks, so no bin is bound to one task.
+population counts differ beyond the radius. Bins are laid out one after the other, so a tile holds many small bins or a
+part of a large one, and rows of different bins aren't linked. The comparison is exact: bins only say which tiles can meet.
+A bin above BIN_LIMIT distinct fingerprints is dealt out as pairs of chunks, so no bin is bound to one task.
 
 A tile run returns a spanning forest of its links, never all pairs. Links meet in a large-star / small-star contraction
 over tables in the shared folder; nothing is collected.
 
 Defined cases: null, empty and wordless texts have the fingerprint zero and link like any other. Rows that repeat an id
-share its component. An empty table gives an empty result; extra columns are ignored.
+share its component; rows without an id link by their fingerprint, and have no component where no row with an id is
+linked with them. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-RADIUS, TILE, BIN_LIMIT, SEED = 2, 1024, 1 << 16, 42
+RADIUS, TILE, BIN_LIMIT, SEED = 2, 64, 1 << 16, 42
+#: Tile pairs compared at once.
+AT_ONCE = 256
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -79,22 +83,39 @@ class _Forest:
         return True
 
 
-def tile_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints, as index pairs into fps."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    x = fps[order]
+def tile_links(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints of equal bin (all, if none are given), as index pairs into fps."""
+    if not len(fps):
+        return (np.zeros(0, np.int64),) * 2
+    bins = np.zeros(len(fps), np.int64) if bins is None else bins
+    order = np.lexsort((np.bitwise_count(fps), bins))
+    n = -(-len(fps) // tile)
+    x, own = np.zeros(n * tile, np.uint64), np.zeros(n * tile, np.int64)
+    x[: len(fps)], own[: len(fps)] = fps[order], np.cumsum(np.r_[True, bins[order][1:] != bins[order][:-1]])
+    own[len(fps) :] = -np.arange(n * tile - len(fps)) - 1  # rows of a bin each, to fill the last tile
     ones = np.bitwise_count(x).astype(np.int16)
-    forest, a, b = _Forest(len(x)), [], []
-    for i in range(0, len(x), tile):
-        left, top = x[i : i + tile], ones[min(i + tile, len(x)) - 1]
-        for j in range(i, len(x), tile):
-            if ones[j] - top > radius:
-                break  # tiles are ordered by population count: all later ones differ by more
-            near = np.bitwise_count(left[:, None] ^ x[None, j : j + tile]) <= radius
-            for p, q in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1) if i == j else near)), strict=True):
-                if forest.join(i + p, j + q):
-                    a.append(i + p)
-                    b.append(j + q)
+    x, own, first, last = x.reshape(n, tile), own.reshape(n, tile), np.arange(n) * tile, np.minimum(np.arange(1, n + 1) * tile, len(fps)) - 1
+    upper = np.triu(np.ones((tile, tile), bool), 1)
+    forest, a, b = _Forest(len(fps)), [], []
+    flat = own.ravel()
+    left, step = np.arange(n), 0
+    while len(left):
+        for at in range(0, len(left), AT_ONCE):
+            i = left[at : at + AT_ONCE]
+            j = i + step
+            near = (np.bitwise_count(x[i][:, :, None] ^ x[j][:, None, :]) <= radius) & (own[i][:, :, None] == own[j][:, None, :])
+            if not step:
+                near &= upper
+            t, p, q = np.nonzero(near)
+            for u, v in zip((i[t] * tile + p).tolist(), (j[t] * tile + q).tolist(), strict=True):
+                if forest.join(u, v):
+                    a.append(u)
+                    b.append(v)
+        step += 1
+        left = left[left + step < n]
+        # Tiles that share no bin have no link. In a bin rows are in order of population count, so if the last of one tile and
+        # the first of another differ beyond the radius, all their rows do, and those of later tiles.
+        left = left[(flat[last[left]] == flat[first[left + step]]) & (ones[first[left + step]] - ones[last[left]] <= radius)]
     return order[np.array(a, np.int64)], order[np.array(b, np.int64)]
 
 
@@ -107,37 +128,14 @@ def _bins(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(F.array(*bins)).alias("bin"), "fp", "id")
 
 
-def _small_groups(bins: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in bins of a few rows, all bins at once: row i against row i + d of the same bin."""
-    a, b, d, n = [], [], 1, len(bins)
-    while d < n:
-        same = bins[:-d] == bins[d:]
-        if not same.any():
-            break
-        at = np.flatnonzero(same)
-        at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
-        a.append(at)
-        b.append(at + d)
-        d += 1
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
 def _link_bins(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by bin; a bin that reaches over the end of a batch waits for the next. Rows: bin, fp, id."""
-    few = 16
 
     def links(bins: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[starts, len(bins)])
-        big = np.repeat(counts > few, counts)
-        at = np.flatnonzero(~big)
-        a, b = _small_groups(bins[at], fps[at], radius)
-        u, v = [at[a]], [at[b]]
-        for s, c in zip(starts[counts > few].tolist(), counts[counts > few].tolist(), strict=True):
-            i, j = tile_links(fps[s : s + c], radius)
-            u.append(s + i)
-            v.append(s + j)
-        i, j = ids[np.concatenate(u)], ids[np.concatenate(v)]
+        # A row alone in its bin has no link.
+        alone = np.r_[True, bins[1:] != bins[:-1]] & np.r_[bins[1:] != bins[:-1], True]
+        bins, fps, ids = bins[~alone], fps[~alone], ids[~alone]
+        i, j = (ids[k] for k in tile_links(fps, radius, bins=bins))
         far = i != j
         if far.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[far]), pa.array(np.maximum(i, j)[far])], ["a", "b"])
@@ -199,13 +197,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bin_limit: int = BIN_
     classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     # An id with several texts links their classes.
     several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high")).where("_low <> _high").select("doc_id", "_low")
-    spread = prints.join(several, "doc_id").where("fp <> _low").select("fp", "_low").distinct()
-    near, far = classes.select("fp", F.col("id").alias("_x")), classes.select(F.col("fp").alias("_low"), F.col("id").alias("_y"))
-    same_id = spread.join(near, "fp").join(far, "_low").where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
-    edges = links(classes.where("id IS NOT NULL"), radius, bin_limit).unionByName(same_id)
-    found = components(edges, scratch)
-    named = classes.join(found, classes["id"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, prints["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    same_id = prints.join(several, "doc_id").where("fp <> _low").select(F.col("_low").alias("a"), F.col("fp").alias("b"))
+    # Classes are linked as fingerprints, so those that only rows without an id hold link others too.
+    linked = components(links(classes.select("fp", F.col("fp").alias("id")), radius, bin_limit).unionByName(same_id), scratch)
+    member = scratch.keep(linked.unionByName(linked.select(F.col("component").alias("node"), "component")).distinct())
+    least = member.join(classes, member["node"] == classes["fp"]).groupBy("component").agg(F.min("id").alias("_least"))
+    named = member.join(least, "component").select("node", "_least")
+    known = classes.join(named, classes["fp"] == named["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("_least", "id").alias("component_id"))
+    return prints.join(known, prints["fp"] == known["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,30 @@ def test_components_match_brute_force(spark, seed, limit):
     assert sorted(got, key=repr) == brute_components(rows)
 
 
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    monkeypatch.setattr(S, "fingerprints", lambda docs: docs)
+    rows = [(7, 0b0), (None, 0b11), (3, 0b1111), (9, 15 << 40), (None, 255 << 50), (None, (255 << 50) | 3)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = {(r.doc_id, r.fp): r.component_id for r in S.near_duplicates(df).collect()}
+    assert got == {(7, 0): 3, (None, 0b11): 3, (3, 0b1111): 3, (9, 15 << 40): 9, (None, 255 << 50): None, (None, (255 << 50) | 3): None}
+
+
+@pytest.mark.parametrize("tile", [3, 64])
+def test_tiles_of_many_bins_link_inside_bins_only(tile):
+    rng = np.random.default_rng(tile)
+    x = (rng.integers(0, 1 << 7, 500) + (rng.integers(0, 2, 500) << 60)).astype(np.uint64)
+    bins = np.sort(rng.integers(0, 60, 500))
+    got, want = S._Forest(500), S._Forest(500)
+    a, b = S.tile_links(x, 2, tile, bins)
+    assert (np.bitwise_count(x[a] ^ x[b]) <= 2).all() and (bins[a] == bins[b]).all()
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        got.join(i, j)
+    for i in range(500):
+        for j in np.flatnonzero((np.bitwise_count(x ^ x[i]) <= 2) & (bins == bins[i])).tolist():
+            want.join(i, j)
+    assert [got.find(i) for i in range(500)] == [want.find(i) for i in range(500)]
+
+
 @pytest.mark.parametrize("tile", [1, 7, 64])
 def test_tiles_find_every_component(tile):
     rng = np.random.default_rng(tile)
