@@ -100,3 +100,53 @@ def test_pairs_count_beyond_single_terms():
     assert score(1, 2) > 0.5 > max(score(1), score(2), score())
     i, j = place[1], place[2]
     assert machine.factors[i] @ machine.factors[j] > 0.5
+
+
+def test_network_matches_plain_loops():
+    """Filters over each pair of blocks, the maximum of each chunk of positions, the maximum and mean over chunks."""
+    rng = np.random.default_rng(9)
+    net = C.Network.start(rng)
+    net.head[:] = rng.normal(0, 1, net.head.shape)
+    for size in (0, 3, 8, 9, 40, 700, 5000):
+        text = bytes(rng.integers(1, 255, size).astype(np.uint8))
+        n = C._blocks(text)
+        padded = text.ljust(n * C.BLOCK, b"\0")
+        blocks = [np.concatenate([net.embed[c] for c in padded[i * C.BLOCK : (i + 1) * C.BLOCK]]) for i in range(n)]
+        positions = [[blocks[p] @ net.filters[:, f] + blocks[p + 1] @ net.filters[:, C.FILTERS + f] + net.bias[f] for f in range(C.FILTERS)] for p in range(n - 1)]
+        chunks = [positions[i : i + C.PER_CHUNK] for i in range(0, len(positions), C.PER_CHUNK)]
+        pooled = [[max(0.0, max(p[f] for p in c)) for f in range(C.FILTERS)] for c in chunks]
+        most = [max(c[f] for c in pooled) for f in range(C.FILTERS)]
+        mean = [sum(c[f] for c in pooled) / len(pooled) for f in range(C.FILTERS)]
+        z = float(np.dot([*most, *mean, np.log(len(pooled)) / 4, 1.0], net.head))
+        np.testing.assert_allclose(C.score(net, [text])[0], 1 / (1 + np.exp(-np.clip(z, -30, 30))), rtol=1e-4)
+
+
+def test_machine_sums_every_pair(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(40)] + ["", None]
+    every = sorted({T.bucket(t) for x in texts for t in T.terms((x or "").encode())})
+    keep = np.array(every[::2], np.int64)  # terms outside of the model add nothing
+    m = T.Machine(-0.3, keep, rng.normal(0, 1, len(keep)), rng.normal(0, 0.5, (len(keep), T.FACTORS)))
+    place = {b: i for i, b in enumerate(keep.tolist())}
+    want = {}
+    for k, x in enumerate(texts):
+        at = sorted({place[b] for b in map(T.bucket, T.terms((x or "").encode())) if b in place})
+        z = m.constant + sum(m.weights[i] for i in at)
+        for a, i in enumerate(at):
+            for j in at[a + 1 :]:
+                z += sum(m.factors[i][f] * m.factors[j][f] for f in range(T.FACTORS))
+        want[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in T.classify(df, m).collect():
+        np.testing.assert_allclose(r.score, want[r.doc_id], rtol=1e-9)
+
+
+def test_sample_is_filled_and_repeats_settle(spark):
+    from fieldglass.llm.labelled import sample
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "x" * (500 if k % 2 else 20)) for k, i in enumerate(ids)] + [(ids[0], "another"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in [*ids, *range(1000, 1100)]], "doc_id long, quality int")
+    runs = [sorted(map(tuple, sample(docs.repartition(n), labels, "quality", 10, 100).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 10 and all(len(t) <= 100 for _, t, _ in runs[0])
