@@ -9,8 +9,8 @@ Only hashes leave the first pass. Distinct (line, content) pairs are counted in
 line that a third of all documents share costs a task no more than any other; the join back to the documents is an
 equi-join without an aggregate that needs its partitioning, so adaptive execution can split a hot line.
 
-Defined cases: null and empty texts have no word and fail the base rules. Rows that repeat a document are judged alike. A
-null host is a host of its own. An empty table gives an empty result; extra columns are ignored.
+Defined cases: null and empty texts have no word and fail the base rules. Rows that repeat a document are judged alike; rows
+without an id are judged by their text as any other. A null host is a host of its own. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("_boiler", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("n_boiler_words"),
-        (~failed & (F.col("n_words") - gone >= least_left * F.col("n_words"))).alias("kept"), "content",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("n_words") - gone >= least_left * F.col("n_words"))).alias("kept"), gone.alias("n_boiler_words"), "content",
     )
 
 
