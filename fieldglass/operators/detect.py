@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.fixed import ADVISORIES, DRIVER_FLOOR, FACTOR_WEIGHTS, SEVERITIES, TIERS
 
 DETECTORS = ("spike", "sustained-trend", "lethality-shift", "new-actor", "geo-spread", "new-hotspot")
 
@@ -80,7 +81,7 @@ def detect(ev: DataFrame, scope: str = "country", window: int = 7, baseline_wind
     """All detectors; alerts of at least a severity, an unknown name meaning all."""
     aged = scoped(ev, scope, window, baseline_windows, as_of)
     alerts = reduce(DataFrame.unionByName, [volume_alerts(aged, baseline_windows), actor_alerts(aged), place_alerts(aged)])
-    floor = X.SEVERITIES.index(min_severity) if min_severity in X.SEVERITIES else 0
+    floor = SEVERITIES.index(min_severity) if min_severity in SEVERITIES else 0
     return alerts.where(X.severity_rank(F.col("severity")) >= floor)
 
 
@@ -94,29 +95,28 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("detector", "severity").agg(F.count("*").alias("alerts"))
 
 
-_WEIGHTS = {"tempo": 0.20, "lethality": 0.25, "escalation": 0.30, "threat": 0.15, "spread": 0.10}
-
-
 def posture(ev: DataFrame, scope: str = "country", window: int = 7, baseline_windows: int = 4, as_of: date | None = None) -> DataFrame:
     """Five factors from 0 to 1, rounded to three places, their weighted score, a tier, and the factors that drive it; for
-    scopes with recent events."""
+    scopes with recent events. Drivers and their advice come by falling score of the factor; the board by falling score."""
     aged = scoped(ev, scope, window, baseline_windows, as_of)
     now, place = F.col("k") == 0, X.first_of("location", "region", "country")
     got = aged.groupBy("scope").agg(
         F.count_if(now).alias("recent"), F.count_if(~now).alias("base"), F.coalesce(F.sum(F.when(now, F.col("magnitude"))), F.lit(0)).cast("long").alias("mag"),
         F.count_if(now & F.col("event_type").isin("drone/uas", "explosion/remote")).alias("threats"), F.countDistinct(F.when(now, place)).alias("places"),
     ).where("recent > 0")
-    weight = F.element_at(F.create_map(*[x for n, v in zip(X.SEVERITIES, (0.0, 0.3, 0.6, 0.85, 1.0), strict=True) for x in (F.lit(n), F.lit(v))]), F.col("severity"))
+    weight = F.element_at(F.create_map(*[x for n, v in zip(SEVERITIES, (0.0, 0.3, 0.6, 0.85, 1.0), strict=True) for x in (F.lit(n), F.lit(v))]), F.col("severity"))
     alerts = detect(ev, scope, window, baseline_windows, as_of).groupBy("scope").agg(F.max(weight).alias("worst"))
     got = got.join(alerts, "scope", "left")
     tempo = F.when(F.col("base") == 0, F.when(F.col("recent") >= 4, 1.0).otherwise(F.col("recent") / 4)).otherwise((F.col("recent") / (F.greatest("base", F.lit(1)) / baseline_windows) - 1) / 2)
-    factors = {"tempo": tempo, "lethality": F.col("mag") / F.col("recent") / 5, "escalation": F.coalesce("worst", F.lit(0.0)), "threat": F.col("threats") / F.col("recent"), "spread": (F.col("places") - 1) / 5}
+    factors = {"tempo": tempo, "lethality": F.col("mag") / F.col("recent") / 5, "escalation": F.coalesce("worst", F.lit(0.0)), "drone_uas": F.col("threats") / F.col("recent"), "spread": (F.col("places") - 1) / 5}
     got = got.select("scope", "recent", "mag", *[F.round(X.clamp01(x), 3).alias(n) for n, x in factors.items()])
-    score = reduce(lambda a, b: a + b, [F.col(n) * w for n, w in _WEIGHTS.items()])
+    score = reduce(lambda a, b: a + b, [F.col(n) * w for n, w in FACTOR_WEIGHTS.items()])
     got = got.withColumn("score", F.round(score, 6))
-    tier = F.when(F.col("score") >= 0.75, "severe").when(F.col("score") >= 0.5, "high").when(F.col("score") >= 0.25, "elevated").otherwise("low")
-    drivers = F.array_join(F.array_compact(F.array(*[F.when(F.col(n) >= 0.34, F.lit(n)) for n in _WEIGHTS])), ",")
-    return got.withColumn("tier", tier).withColumn("drivers", drivers)
+    tier = F.when(F.col("score") >= 0.75, TIERS[3]).when(F.col("score") >= 0.5, TIERS[2]).when(F.col("score") >= 0.25, TIERS[1]).otherwise(TIERS[0])
+    scored = F.array_sort(F.array(*[F.struct((-F.col(n)).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("name"), F.lit(ADVISORIES[n]).alias("advice")) for i, n in enumerate(FACTOR_WEIGHTS)]))
+    got = got.withColumn("tier", tier).withColumn("_d", F.filter(scored, lambda f: -f["s"] >= DRIVER_FLOOR))
+    out = got.withColumn("drivers", F.array_join(F.transform("_d", lambda f: f["name"]), ",")).withColumn("advisories", F.transform("_d", lambda f: f["advice"]))
+    return out.drop("_d").orderBy(F.desc("score"), F.desc("mag"), "scope")
 
 
 def posture_counts(board: DataFrame) -> DataFrame:

@@ -115,4 +115,4 @@ def structural_trend(shape: DataFrame, move: float = 0.05) -> DataFrame:
     rounded = shape.withColumn("density", F.round("density", 6))
     got = rounded.agg(F.count("*").alias("windows"), F.min_by("density", "w").alias("first"), F.max_by("density", "w").alias("last"))
     change = F.col("last") - F.col("first")
-    return got.select("windows", "first", "last", change.alias("change"), F.when(change > move, "densifying").when(change < -move, "thinning").otherwise("stable").alias("trend"))
+    return got.select("windows", "first", "last", change.alias("change"), F.when(change > move, "consolidating").when(change < -move, "fragmenting").otherwise("stable").alias("trend"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.fixed import LEVELS
 
 
 def dense_daily(ev: DataFrame, keys: list[str] | None = None, last_shared: bool = False) -> DataFrame:
@@ -94,7 +95,7 @@ def forecast(series: DataFrame, metric: str = "events", horizon: int = 7, fit_da
     fit = tail(series, max(2, fit_days), keys).groupBy(*keys).agg(slope.alias("slope"), intercept.alias("intercept"), F.max("date").alias("last"), F.max("_n").alias("n"))
     step = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     value = F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step")))
-    direction = F.when(F.col("slope") > 0.05, "rising").when(F.col("slope") < -0.05, "falling").otherwise("steady")
+    direction = F.when(F.col("slope") > 0.05, "rising").when(F.col("slope") < -0.05, "falling").otherwise("flat")
     return step.select(*keys, F.date_add("last", F.col("step")).alias("date"), value.alias("value"), "slope", direction.alias("direction"))
 
 
@@ -126,7 +127,8 @@ def tempo_board(ev: DataFrame, by: str = "country", window: int = 7, fit_days: i
     return got.select(by, "last", "days", "total", recent.alias("recent"), prior.alias("prior"), (recent - prior).alias("momentum"), "slope", sigma.alias("sigma"), projected.alias("projected"), trend.alias("trend"))
 
 
-_LEVELS = ((80, "critical"), (60, "high"), (40, "elevated"), (20, "guarded"))
+#: The lowest index of each level above the first.
+_LEVELS = tuple(zip((80, 60, 40, 20), reversed(LEVELS[1:])))
 
 
 def escalation_index(ev: DataFrame, window: int = 7, baseline_windows: int = 4, weights: tuple[float, float, float] = (0.40, 0.35, 0.25), rise: float = 5.0) -> DataFrame:
@@ -160,7 +162,7 @@ def escalation_index(ev: DataFrame, window: int = 7, baseline_windows: int = 4,
     damp = F.least(F.lit(1.0), F.col("recent") / 6.0)
     index = sum((X.saturate(r) * u for r, u in zip(ratios.values(), used, strict=True)), F.lit(0.0)) * damp
     out = calc.select("date", "i", "recent", "recent_mag", "spread", *[r.alias(f"{n}_ratio") for n, r in ratios.items()], index.alias("index"))
-    level = F.lit("low")
+    level = F.lit(LEVELS[0])
     for bound, name in reversed(_LEVELS):
         level = F.when(F.col("index") >= bound, name).otherwise(level)
     delta = F.col("index") - F.lag("index", w).over(order)

@@ -54,7 +54,7 @@ coalesce((SELECT string_agg(country, ',' ORDER BY slope DESC, projected DESC, co
 _sat = lambda c, w: f"round(({_SAT(c)}) * {w}::DOUBLE, 6)"
 _add("escalation_now", lambda s, d: _R(S.escalation_now(S.escalation_index(ev_stream(s, d))), "index", "slope_per_day"), f"WITH {EV_STREAM} " + _ESC.replace("{ev}", "evs") + f""", tl AS (SELECT *, row_number() OVER (ORDER BY i DESC) AS b FROM dl), ls AS (SELECT * FROM tl WHERE b = 1),
 sl AS (SELECT regr_slope(ind, i) AS slope FROM tl WHERE b <= 7), dr AS (SELECT string_agg(name, ',' ORDER BY v DESC, name) AS drivers FROM (SELECT unnest(['tempo', 'intensity', 'spread']) AS name, unnest([{_sat('t', 0.4)}, {_sat('n', 0.35)}, {_sat('p', 0.25)}]) AS v FROM ls))
-SELECT date, round(ind, 6) + 0.0 AS index, CASE WHEN ind >= 80 THEN 'critical' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'low' END AS level, CASE WHEN delta >= 5 THEN 'rising' WHEN delta <= -5 THEN 'falling' ELSE 'steady' END AS direction, round(slope, 6) + 0.0 AS slope_per_day, drivers FROM ls, sl, dr""")
+SELECT date, round(ind, 6) + 0.0 AS index, CASE WHEN ind >= 80 THEN 'severe' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'calm' END AS level, CASE WHEN delta >= 5 THEN 'rising' WHEN delta <= -5 THEN 'falling' ELSE 'steady' END AS direction, round(slope, 6) + 0.0 AS slope_per_day, drivers FROM ls, sl, dr""")
 
 # Harvest and catalogs: pages as a catalog of sources ------------------------------------------------------------------
 _CAT = "ct AS (SELECT page_id AS seq, concat('source ', CAST(page_id % 40 AS STRING)) AS name, url, CASE page_id % 4 WHEN 0 THEN 'tracker' WHEN 1 THEN 'dataset' WHEN 2 THEN 'tool' ELSE 'news' END AS type, CASE WHEN page_id % 3 = 0 THEN url ELSE '' END AS rss FROM pages)"

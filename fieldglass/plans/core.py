@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.fixed import ADVISORIES
 from ..operators import aggregates as A
 from ..operators import detect as D
 from ..operators import series as S
@@ -30,7 +31,7 @@ def _both(name, query, sql):
 
 _SUMS = "count(*) AS events, CAST(sum(magnitude) AS BIGINT) AS magnitude"
 _PLACE = "coalesce(nullif(trim(location), ''), nullif(trim(region), ''), nullif(trim(country), ''))"
-_SEV = "CASE WHEN magnitude >= 25 OR (event_type = 'explosion/remote' AND magnitude >= 10) THEN 'critical' WHEN magnitude >= 5 THEN 'high' WHEN magnitude >= 1 THEN 'medium' WHEN event_type IN ('battle', 'explosion/remote', 'drone/uas', 'violence-against-civilians') THEN 'low' ELSE 'info' END"
+_SEV = "CASE WHEN magnitude >= 25 OR (event_type = 'explosion/remote' AND magnitude >= 10) THEN 'critical' WHEN magnitude >= 5 THEN 'high' WHEN magnitude >= 1 THEN 'medium' WHEN event_type IN ('battle', 'explosion/remote', 'drone/uas') THEN 'low' ELSE 'info' END"
 
 _both("hotspots", lambda e: A.hotspots(e, 10), f"SELECT country, coalesce(nullif(trim(region), ''), nullif(trim(location), ''), '') AS place, {_SUMS} FROM {{ev}} GROUP BY 1, 2 ORDER BY magnitude DESC, events DESC, country, place LIMIT 10")
 _both("timeline", A.timeline, f"SELECT date, {_SUMS} FROM {{ev}} WHERE date IS NOT NULL GROUP BY date")
@@ -67,7 +68,7 @@ _add("lulls_stream", lambda s, d: S.lulls(S.dense_daily(ev_stream(s, d)), quiet=
 _both("forecast", lambda e: S.forecast(S.dense_daily(e), horizon=7, fit_days=28), _DAYS + """, f AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS back FROM s), t AS (SELECT *, count(*) OVER () - back AS x FROM f WHERE back <= 28),
 l AS (SELECT count(*) AS n, max(date) AS last, sum(x) AS sx, sum(events) AS sy, sum(x * x) AS sxx, sum(x * events) AS sxy FROM t),
 c AS (SELECT n, last, sx, sy, CASE WHEN n * sxx - sx * sx <> 0 THEN CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) ELSE 0.0 END AS slope FROM l)
-SELECT CAST(last + CAST(h AS INT) AS DATE) AS date, greatest(0.0, (sy - slope * sx) / n + slope * (n - 1 + h)) AS value, slope, CASE WHEN slope > 0.05 THEN 'rising' WHEN slope < -0.05 THEN 'falling' ELSE 'steady' END AS direction FROM c, range(1, 8) r(h)""")
+SELECT CAST(last + CAST(h AS INT) AS DATE) AS date, greatest(0.0, (sy - slope * sx) / n + slope * (n - 1 + h)) AS value, slope, CASE WHEN slope > 0.05 THEN 'rising' WHEN slope < -0.05 THEN 'falling' ELSE 'flat' END AS direction FROM c, range(1, 8) r(h)""")
 _R = lambda df, *cols: df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
 _both("tempo_board", lambda e: _R(S.tempo_board(e, "country"), "recent", "prior", "momentum", "slope", "sigma", "projected"), """, e AS (SELECT * FROM {ev} WHERE coalesce(trim(country), '') <> '' AND date IS NOT NULL), hi AS (SELECT max(date) AS hi FROM e),
 b AS (SELECT country, min(date) AS lo FROM e GROUP BY country), cal AS (SELECT country, CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM b, hi),
@@ -89,8 +90,8 @@ ix AS (SELECT *, (0.4::DOUBLE * ({_SAT('t')}) + 0.35::DOUBLE * ({_SAT('n')}) + 0
 dl AS (SELECT *, ind - lag(ind, 7) OVER (ORDER BY i) AS delta FROM ix)"""
 _esc = lambda e: S.escalation_index(e, 7, 4)
 _add("escalation_series", lambda s, d: _R(_esc(ev_stream(s, d)), "tempo_ratio", "intensity_ratio", "spread_ratio", "index", "delta"), f"WITH {EV_STREAM} " + _ESC.replace("{ev}", "evs") + """ SELECT date, CAST(recent AS BIGINT) AS recent, CAST(mag AS BIGINT) AS recent_mag, spread, round(t, 6) AS tempo_ratio, round(n, 6) AS intensity_ratio, round(p, 6) AS spread_ratio, round(ind, 6) AS index,
-CASE WHEN ind >= 80 THEN 'critical' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'low' END AS level, round(delta, 6) AS delta, CASE WHEN delta >= 5 THEN 'rising' WHEN delta <= -5 THEN 'falling' ELSE 'steady' END AS direction FROM dl""")
-_add("escalation_summary", lambda s, d: _R(S.escalation_summary(_R(_esc(ev_stream(s, d)), "index")), "current", "peak"), f"WITH {EV_STREAM} " + _ESC.replace("{ev}", "evs") + """, r AS (SELECT *, round(ind, 6) AS ri FROM dl) SELECT round(arg_max(ri, date), 6) AS current, arg_max(CASE WHEN ind >= 80 THEN 'critical' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'low' END, date) AS level,
+CASE WHEN ind >= 80 THEN 'severe' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'calm' END AS level, round(delta, 6) AS delta, CASE WHEN delta >= 5 THEN 'rising' WHEN delta <= -5 THEN 'falling' ELSE 'steady' END AS direction FROM dl""")
+_add("escalation_summary", lambda s, d: _R(S.escalation_summary(_R(_esc(ev_stream(s, d)), "index")), "current", "peak"), f"WITH {EV_STREAM} " + _ESC.replace("{ev}", "evs") + """, r AS (SELECT *, round(ind, 6) AS ri FROM dl) SELECT round(arg_max(ri, date), 6) AS current, arg_max(CASE WHEN ind >= 80 THEN 'severe' WHEN ind >= 60 THEN 'high' WHEN ind >= 40 THEN 'elevated' WHEN ind >= 20 THEN 'guarded' ELSE 'calm' END, date) AS level,
 max(ri) AS peak, (SELECT date FROM r ORDER BY ri DESC, date LIMIT 1) AS peak_date, count(*) FILTER (WHERE delta >= 5) AS rising, count(*) FILTER (WHERE delta <= -5) AS falling FROM r""")
 
 # Detectors ----------------------------------------------------------------------------------------------------------
@@ -124,6 +125,9 @@ pa AS (SELECT scope, 'geo-spread' AS detector, 1 + 0.5::DOUBLE * (recent - prior
 UNION ALL SELECT scope, 'new-hotspot', greatest(1 + 0.3::DOUBLE * (now - 4), 1.5), now, place FROM pp WHERE now >= 4 AND now >= 3 * base AND base <= 1)"""
 
 
+_ADVICE = " ".join(f"WHEN '{n}' THEN '{text}'" for n, text in ADVISORIES.items())
+
+
 def _alerts(name, view, scope, w, k):
     ev, cte = ("evo", EV_ORDERS) if view is ev_orders else ("evs", EV_STREAM)
     aged = f"WITH {cte} " + _aged(ev, scope, w, k)
@@ -137,10 +141,10 @@ def _alerts(name, view, scope, w, k):
     clamp = lambda x: f"round(least(1.0, greatest(0.0, {x})), 3)"
     post = full + f""", wt AS (SELECT scope, max(CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 ELSE 0.0 END)::DOUBLE AS worst FROM ({_ALERTS} al) GROUP BY scope),
 po AS (SELECT scope, count(*) FILTER (WHERE k = 0) AS recent, count(*) FILTER (WHERE k > 0) AS base, coalesce(sum(magnitude) FILTER (WHERE k = 0), 0) AS mag, count(*) FILTER (WHERE k = 0 AND event_type IN ('drone/uas', 'explosion/remote')) AS th, count(DISTINCT place) FILTER (WHERE k = 0) AS places FROM g GROUP BY scope HAVING count(*) FILTER (WHERE k = 0) > 0),
-f AS (SELECT po.scope, recent, CAST(mag AS BIGINT) AS mag, {clamp(f"CASE WHEN base = 0 THEN CASE WHEN recent >= 4 THEN 1.0 ELSE recent / 4.0 END ELSE (recent / (base / {k}.0::DOUBLE) - 1) / 2 END")} AS tempo, {clamp("mag::DOUBLE / recent / 5")} AS lethality, {clamp("coalesce(worst, 0.0)")} AS escalation, {clamp("th::DOUBLE / recent")} AS threat, {clamp("(places - 1) / 5.0::DOUBLE")} AS spread FROM po LEFT JOIN wt ON po.scope = wt.scope),
-fs AS (SELECT *, round(tempo * 0.2::DOUBLE + lethality * 0.25::DOUBLE + escalation * 0.3::DOUBLE + threat * 0.15::DOUBLE + spread * 0.1::DOUBLE, 6) AS score FROM f),
-ft AS (SELECT *, CASE WHEN score >= 0.75 THEN 'severe' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'elevated' ELSE 'low' END AS tier, array_to_string(list_filter([CASE WHEN tempo >= 0.34 THEN 'tempo' END, CASE WHEN lethality >= 0.34 THEN 'lethality' END, CASE WHEN escalation >= 0.34 THEN 'escalation' END, CASE WHEN threat >= 0.34 THEN 'threat' END, CASE WHEN spread >= 0.34 THEN 'spread' END], lambda x: x IS NOT NULL), ',') AS drivers FROM fs)"""
-    _add(f"posture_{name}", lambda s, d: D.posture(view(s, d), scope, w, k), post + " SELECT * FROM ft")
+f AS (SELECT po.scope, recent, CAST(mag AS BIGINT) AS mag, {clamp(f"CASE WHEN base = 0 THEN CASE WHEN recent >= 4 THEN 1.0 ELSE recent / 4.0 END ELSE (recent / (base / {k}.0::DOUBLE) - 1) / 2 END")} AS tempo, {clamp("mag::DOUBLE / recent / 5")} AS lethality, {clamp("coalesce(worst, 0.0)")} AS escalation, {clamp("th::DOUBLE / recent")} AS drone_uas, {clamp("(places - 1) / 5.0::DOUBLE")} AS spread FROM po LEFT JOIN wt ON po.scope = wt.scope),
+fs AS (SELECT *, round(tempo * 0.2::DOUBLE + lethality * 0.25::DOUBLE + escalation * 0.3::DOUBLE + drone_uas * 0.15::DOUBLE + spread * 0.1::DOUBLE, 6) AS score FROM f),
+ft AS (SELECT *, CASE WHEN score >= 0.75 THEN 'red' WHEN score >= 0.5 THEN 'amber' WHEN score >= 0.25 THEN 'guarded' ELSE 'green' END AS tier, array_to_string(list_transform(list_sort(list_filter([{{'s': -tempo, 'i': 0, 'n': 'tempo'}}, {{'s': -lethality, 'i': 1, 'n': 'lethality'}}, {{'s': -escalation, 'i': 2, 'n': 'escalation'}}, {{'s': -drone_uas, 'i': 3, 'n': 'drone_uas'}}, {{'s': -spread, 'i': 4, 'n': 'spread'}}], lambda x: x.s <= -0.34)), lambda x: x.n), ',') AS drivers FROM fs)"""
+    _add(f"posture_{name}", lambda s, d: D.posture(view(s, d), scope, w, k).withColumn("advisories", F.array_join("advisories", " ")), post + f" SELECT *, array_to_string(list_transform(list_filter(string_split(drivers, ','), lambda x: x <> ''), lambda x: CASE x {_ADVICE} END), ' ') AS advisories FROM ft")
     _add(f"posture_counts_{name}", lambda s, d: D.posture_counts(D.posture(view(s, d), scope, w, k)), post + " SELECT tier, count(*) AS scopes FROM ft GROUP BY tier")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
+from ..functions.fixed import REPORT_STOPWORDS
 from ..operators import aggregates as A
 from ..operators import flux as W
 from ..operators import graph as G
@@ -35,7 +35,7 @@ an AS (SELECT component, actor, count(*) AS n FROM (SELECT component, actor1 AS
 tp AS (SELECT component, array_to_string(list(actor ORDER BY r), ',') AS top_actors FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, actor) AS r FROM an) WHERE r <= 6 GROUP BY 1)
 SELECT component, size, magnitude, start, "end", round(clat, 6) + 0.0 AS center_lat, round(clon, 6) + 0.0 AS center_lon, span_days, round(km, 6) + 0.0 AS radius_km, top_actors FROM ba JOIN aw USING (component) JOIN tp USING (component)""")
 
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', notes, actor1, actor2, location, region)), '([a-z0-9]+)', 1), lambda w: length(w) >= 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")))"
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', notes, actor1, actor2, location, region)), '([a-z0-9]+)', 1), lambda w: length(w) >= 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in REPORT_STOPWORDS) + ")))"
 _DUP = f", tk AS (SELECT *, {_TOK} AS t FROM evs), dp AS (SELECT x.seq AS a, y.seq AS b FROM tk x JOIN tk y ON x.seq < y.seq AND abs(x.date - y.date) <= 1 AND round(x.lat * 10) = round(y.lat * 10) WHERE " + _KM.format(a="x.lat", b="x.lon", c="y.lat", d="y.lon") + """ <= 5.0
 AND (coalesce(len(list_intersect(x.t, y.t))::DOUBLE / nullif(len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)), 0), 0.0) >= 0.5 OR (x.event_type = y.event_type AND x.event_type <> 'other')))"""
 _OPT = {"max_day_gap": 1, "radius_km": 5.0, "threshold": 0.5}
@@ -101,4 +101,4 @@ _add("flux_departed", lambda e: W.departed(_path(W.windows(e.where("NOT (actor1
 _add("flux_tie_changes", _placed(W.tie_changes), _W + ', o AS (SELECT w + 1 AS "to", a, b FROM ti), n AS (SELECT w AS "to", a, b FROM ti), fj AS (SELECT coalesce(o."to", n."to") AS "to", o.a AS oa, n.a AS na FROM o FULL JOIN n ON o."to" = n."to" AND o.a = n.a AND o.b = n.b) SELECT CAST("to" AS INT) AS "to", count(*) FILTER (WHERE oa IS NULL) AS formed, count(*) FILTER (WHERE na IS NULL) AS dissolved, count(*) FILTER (WHERE oa IS NOT NULL AND na IS NOT NULL) AS kept FROM fj, wm WHERE "to" BETWEEN 1 AND lw GROUP BY 1')
 _add("flux_persistent_ties", _placed(W.persistent_ties), _W + " SELECT a, b, count(*) AS windows, CAST(sum(weight) AS BIGINT) AS weight FROM ti, wm GROUP BY a, b, lw HAVING count(*) = lw + 1")
 _add("flux_emerging_ties", _placed(W.emerging_ties), _W + " SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight FROM ti, wm GROUP BY a, b, lw HAVING min(w) = lw AND lw > 0")
-_add("flux_trend", _placed(lambda p: _R(W.structural_trend(W.structure(p)), "first", "last", "change")), _W + _ST + ", rd AS (SELECT w, round(density, 6) AS d FROM sd), fl AS (SELECT count(*) AS windows, arg_min(d, w) AS first, arg_max(d, w) AS last FROM rd) SELECT windows, first + 0.0 AS first, last + 0.0 AS last, round(last - first, 6) + 0.0 AS change, CASE WHEN last - first > 0.05 THEN 'densifying' WHEN last - first < -0.05 THEN 'thinning' ELSE 'stable' END AS trend FROM fl")
+_add("flux_trend", _placed(lambda p: _R(W.structural_trend(W.structure(p)), "first", "last", "change")), _W + _ST + ", rd AS (SELECT w, round(density, 6) AS d FROM sd), fl AS (SELECT count(*) AS windows, arg_min(d, w) AS first, arg_max(d, w) AS last FROM rd) SELECT windows, first + 0.0 AS first, last + 0.0 AS last, round(last - first, 6) + 0.0 AS change, CASE WHEN last - first > 0.05 THEN 'consolidating' WHEN last - first < -0.05 THEN 'fragmenting' ELSE 'stable' END AS trend FROM fl")
