@@ -175,26 +175,30 @@ def dependencies_of(near: dict, source: str, weighted: bool) -> dict[str, float]
     return give
 
 
-def _by_source(nodes: DataFrame, near: dict, work: Callable[[dict, str], list[tuple[str, float]]]) -> DataFrame:
+def _by_source(nodes: DataFrame, near: dict, work: Callable[[dict, str], dict[str, float]]) -> DataFrame:
+    """What all sources of a task give each actor, added up in the task: at most a row for each actor and task."""
     shared = nodes.sparkSession.sparkContext.broadcast(near)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, float] = {}
         for f in frames:
-            rows = [x for actor in f["actor"] for x in work(shared.value, actor)]
-            yield pd.DataFrame(rows, columns=["actor", "score"])
+            for source in f["actor"]:
+                for actor, score in work(shared.value, source).items():
+                    total[actor] = total.get(actor, 0.0) + score
+        yield pd.DataFrame(list(total.items()), columns=["actor", "score"])
 
-    return nodes.select("actor").repartition(nodes.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "actor string, score double")
+    return nodes.select("actor").distinct().repartition(nodes.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "actor string, score double")
 
 
 def closeness(nodes: DataFrame, edges: DataFrame, weighted: bool = False) -> DataFrame:
     n, near = nodes.count(), _local(edges)
-    return _by_source(nodes, near, lambda g, a: [(a, closeness_of(g, n, a, weighted))])
+    return _by_source(nodes, near, lambda g, a: {a: closeness_of(g, n, a, weighted)})
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = False, normalized: bool = True) -> DataFrame:
     n, near = nodes.count(), _local(edges)
     scale = 0.5 / ((n - 1) * (n - 2) / 2) if normalized and n > 2 else 0.5 if n > 2 else 0.0
-    parts = _by_source(nodes, near, lambda g, a: list(dependencies_of(g, a, weighted).items()) + [(a, 0.0)])
+    parts = _by_source(nodes, near, lambda g, a: dependencies_of(g, a, weighted) | {a: 0.0})
     return parts.groupBy("actor").agg((F.sum("score") * scale).alias("score"))
 
 
@@ -217,10 +221,10 @@ def spread_labels(near: dict, actors: list[str], rounds: int) -> dict[str, str]:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """Actors and their label; actors without ties are communities of one. Refuses over MAX_LOCAL_EDGES ties."""
     near = _local(edges)
-    names = [r.actor for r in nodes.select("actor").distinct().limit(MAX_LOCAL_EDGES).collect()]
-    found = spread_labels(near, names, rounds)
-    return nodes.sparkSession.createDataFrame(sorted(found.items()), "actor string, community string")
+    found = nodes.sparkSession.createDataFrame(sorted(spread_labels(near, list(near), rounds).items()), "_actor string, _label string")
+    return nodes.select("actor").distinct().join(found, F.col("actor") == F.col("_actor"), "left").select("actor", F.coalesce("_label", "actor").alias("community"))
 
 
 METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {

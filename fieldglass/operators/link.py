@@ -2,7 +2,10 @@
 
 Pair searches are equi-joins on blocks: a day bucket as wide as the gap and, for clusters, a grid cell as wide as the
 radius; each event is filed in its own block and one side also in the neighbouring ones. The exact predicate runs on the
-pairs that meet. Components are found by star contraction over tables, so nothing is collected."""
+pairs that meet. Components are found by star contraction over tables, so nothing is collected.
+
+Clusters and incidents don't need all pairs: events that are alike in all that the predicate reads are one class, linked by
+a star to their first, and only the classes are paired. So a place and day with a third of all events costs its classes."""
 
 from __future__ import annotations
 
@@ -10,8 +13,9 @@ import atexit
 import math
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -20,7 +24,7 @@ from ..functions import exprs as X
 def _shared(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldglass-core-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -78,67 +82,124 @@ def near_pairs(ev: DataFrame, radius_km: float = 50.0, max_day_gap: int = 3) ->
     bands = lambda row: F.greatest(F.lit(1), F.floor(360.0 / reach(row)).cast("int"))
     band = lambda row: F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / (360.0 / bands(row))).cast("int")
     left = pts.select(F.col("seq").alias("a"), F.col("date").alias("da"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("_row").alias("row"), band(F.col("_row")).alias("band"), F.col("_day").alias("day"))
-    near = pts.withColumn("row", F.explode(F.sequence(F.col("_row") - 1, F.col("_row") + 1))).withColumn("day", F.explode(F.sequence(F.col("_day") - 1, F.col("_day") + 1)))
+    # The right side is the later one (of one day: that of the larger seq), so it is filed under its own and the day bucket before.
+    near = pts.withColumn("row", F.explode(F.sequence(F.col("_row") - 1, F.col("_row") + 1))).withColumn("day", F.explode(F.array(F.col("_day") - 1, F.col("_day"))))
     near = near.withColumn("_n", bands(F.col("row"))).withColumn("_b", band(F.col("row")))
     near = near.withColumn("band", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(F.col("_b") + k, F.col("_n"))))))
     right = near.select(F.col("seq").alias("b"), F.col("date").alias("db"), F.col("lat").alias("la2"), F.col("lon").alias("lo2"), "row", "band", "day")
-    met = left.join(right, ["row", "band", "day"]).where((F.col("a") < F.col("b")) & (F.abs(F.datediff("da", "db")) <= max_day_gap) & (X.haversine_km(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_km))
-    return met.select("a", "b").distinct()
+    later = F.datediff("db", "da").between(0, max_day_gap) & ((F.col("da") < F.col("db")) | (F.col("a") < F.col("b")))
+    met = left.join(right, ["row", "band", "day"]).where(later & (X.haversine_km(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_km))
+    # A pair meets once: its left side stands in one block, and the right side is filed there once.
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _classes(ev: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of events alike in the keys the first (its seq and the keys), and a star of edges a < b from it to the others."""
+    least = ev.groupBy(*keys).agg(F.min("seq").alias("_first"))
+    one = least.select(F.col("_first").alias("seq"), *keys)
+    match = reduce(lambda x, y: x & y, [F.col(f"e.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
+    star = ev.alias("e").join(least.alias("c"), match).where("e.seq <> c._first").select(F.col("c._first").alias("a"), F.col("e.seq").alias("b"), *[F.col(f"e.{k}") for k in keys])
+    return one, star
 
 
 def clusters(ev: DataFrame, radius_km: float = 50.0, max_day_gap: int = 3, min_size: int = 3) -> DataFrame:
-    """Single-link clusters of at least min_size events: size, magnitude, span, centre, radius, and up to six actors."""
+    """Single-link clusters of at least min_size events, the largest first: size, magnitude, span, centre, radius, and up to
+    six actors. Rows that repeat a seq are one event."""
     tables = Tables(ev.sparkSession)
-    member = connected_components(near_pairs(ev, radius_km, max_day_gap), tables)
+    ev = ev.dropDuplicates(["seq"])
+    spots, star = _classes(ev.where("lat IS NOT NULL AND lon IS NOT NULL AND date IS NOT NULL").select("seq", "date", "lat", "lon"), ["date", "lat", "lon"])
+    member = connected_components(near_pairs(spots, radius_km, max_day_gap).unionByName(star.select("a", "b")), tables)
     roots = member.select("component").distinct().select(F.col("component").alias("node"), "component")
     got = ev.join(member.unionByName(roots), F.col("seq") == F.col("node"))
     base = got.groupBy("component").agg(F.count("*").alias("size"), F.sum("magnitude").cast("long").alias("magnitude"), F.min("date").alias("start"), F.max("date").alias("end"), F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon")).where(F.col("size") >= min_size)
     away = got.join(base.select("component", "center_lat", "center_lon"), "component").groupBy("component").agg(F.max(X.haversine_km(F.col("lat"), F.col("lon"), F.col("center_lat"), F.col("center_lon"))).alias("radius_km"))
     actors = got.select("component", F.explode(F.filter(F.array("actor1", "actor2"), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")).alias("actor")).groupBy("component", "actor").agg(F.count("*").alias("n"))
     top = actors.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "actor"))).where("_r <= 6").groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "actor"))), lambda x: x["actor"]), ",").alias("top_actors"))
-    return base.withColumn("span_days", F.datediff("end", "start") + 1).join(away, "component").join(top, "component", "left")
+    return base.withColumn("span_days", F.datediff("end", "start") + 1).join(away, "component").join(top, "component", "left").orderBy(F.desc("size"), F.desc("magnitude"), "component")
+
+
+_ALIKE_BY = ["date", "event_type", "country", "region", "location", "lat", "lon", "_tok"]
+
+
+def _dated(ev: DataFrame) -> DataFrame:
+    return ev.where("date IS NOT NULL").withColumn("_tok", X.event_tokens()).select("seq", *_ALIKE_BY)
+
+
+def _alike(threshold: float) -> Column:
+    return (X.jaccard(F.col("x._tok"), F.col("y._tok")) >= threshold) | ((F.col("x.event_type") == F.col("y.event_type")) & (F.col("x.event_type") != "other"))
+
+
+def _matches(dated: DataFrame, max_day_gap: int, radius_km: float, threshold: float) -> DataFrame:
+    """Pairs a < b of dated events that tell of one incident."""
+    near = near_pairs(dated.select("seq", "date", "lat", "lon"), radius_km, max_day_gap)
+    by_place = near.join(dated.alias("x"), F.col("a") == F.col("x.seq")).join(dated.alias("y"), F.col("b") == F.col("y.seq")).where(_alike(threshold)).select("a", "b")
+    # Where one of two events lacks coordinates, their countries are equal, or one is blank and the places' names tell.
+    day = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / (max_day_gap + 1)).cast("int")
+    lower = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    keyed = dated.withColumns({"_day": day, "_c": lower("country"), "_p": F.coalesce(X.missing(lower("location")), lower("region")), "_lacks": F.col("lat").isNull() | F.col("lon").isNull()})
+    around = lambda df: df.withColumn("_day", F.explode(F.sequence(F.col("_day") - 1, F.col("_day") + 1)))
+    cond = (F.col("x.seq") != F.col("y.seq")) & (F.abs(F.datediff("x.date", "y.date")) <= max_day_gap) & X.same_place("x", "y", radius_km) & _alike(threshold)
+    pair = lambda df: df.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b"))
+    lacking = around(keyed.where("_lacks"))
+    same = pair(lacking.alias("x").join(keyed.alias("y"), ["_day", "_c"]).where(cond))
+    # A place's name holds another's only if it holds its first letters: the shorter stands under those, the longer under all.
+    grams = F.when(F.length("_p") > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_p")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("_p"), i, n))))))
+    long, short = keyed.withColumn("_g", F.explode(grams)), keyed.where("_p <> ''").withColumn("_g", F.substring("_p", 1, 3))
+    one_blank = (F.col("x._c") == "") != (F.col("y._c") == "")
+    lacks = F.col("x._lacks") | F.col("y._lacks")
+    blank = pair(around(long).alias("x").join(short.alias("y"), ["_day", "_g"]).where(one_blank & lacks & cond))
+    return by_place.unionByName(same).unionByName(blank)
 
 
 def duplicate_pairs(ev: DataFrame, max_day_gap: int = 1, radius_km: float = 15.0, threshold: float = 0.5) -> DataFrame:
     """Pairs a < b of reports of one incident: close days, alike places, and alike words or the same specific type.
 
-    Two events match by distance alone where both are located, so located pairs are blocked by grid cell and day, and
-    pairs that lack coordinates by country and day."""
-    dated = ev.where("date IS NOT NULL").withColumn("_tok", X.event_tokens()).withColumn("_day", F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / (max_day_gap + 1)).cast("int"))
-    cols = ["seq", "date", "event_type", "country", "region", "location", "lat", "lon", "_tok"]
-    alike = lambda: (X.jaccard(F.col("x._tok"), F.col("y._tok")) >= threshold) | ((F.col("x.event_type") == F.col("y.event_type")) & (F.col("x.event_type") != "other"))
-    near = near_pairs(ev, radius_km, max_day_gap)
-    full = dated.select(*cols)
-    by_place = near.join(full.alias("x"), F.col("a") == F.col("x.seq")).join(full.alias("y"), F.col("b") == F.col("y.seq")).where(alike()).select("a", "b")
-    # Without both coordinates the countries are equal, or one is blank: those meet all of their days.
-    key = F.lower(F.trim(F.coalesce("country", F.lit(""))))
-    x = dated.withColumn("_day", F.explode(F.sequence(F.col("_day") - 1, F.col("_day") + 1))).withColumn("_c", key)
-    y = dated.withColumn("_c", key)
-    lacking = "(x.lat IS NULL OR x.lon IS NULL OR y.lat IS NULL OR y.lon IS NULL)"
-    cond = (F.col("x.seq") != F.col("y.seq")) & (F.abs(F.datediff("x.date", "y.date")) <= max_day_gap) & F.expr(lacking) & X.same_place("x", "y", radius_km) & alike()
-    pair = lambda df: df.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b"))
-    same = pair(x.alias("x").join(y.alias("y"), ["_day", "_c"]).where(cond))
-    blank = pair(x.where("_c = ''").alias("x").join(y.where("_c <> ''").alias("y"), ["_day"]).where(cond))
-    return by_place.unionByName(same).unionByName(blank).distinct()
+    Two events match by distance alone where both are located, so located pairs are blocked by grid cell and day, and pairs
+    that lack coordinates by country and day, or by day and letters of the place's name."""
+    return _matches(_dated(ev), max_day_gap, radius_km, threshold).distinct()
+
+
+def duplicate_links(ev: DataFrame, max_day_gap: int = 1, radius_km: float = 15.0, threshold: float = 0.5) -> DataFrame:
+    """Edges a < b that join the same events as ``duplicate_pairs`` does, without all pairs."""
+    dated = _dated(ev)
+    one, star = _classes(dated, _ALIKE_BY)
+    # Events of a class match each other if an event would match itself.
+    located, named = F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.concat_ws("", F.trim("country"), F.trim("location"), F.trim("region")) != ""
+    words = (F.size("_tok") > 0) & (F.lit(threshold) <= 1.0) | (F.lit(threshold) <= 0.0)
+    itself = (located | named) & (words | (F.col("event_type") != "other"))
+    return _matches(one, max_day_gap, radius_km, threshold).unionByName(star.where(itself).select("a", "b"))
 
 
 def incident_groups(ev: DataFrame, **options) -> DataFrame:
-    """seq and incident (the smallest seq of its group); events without a duplicate are groups of one."""
-    member = connected_components(duplicate_pairs(ev, **options))
+    """seq and incident (the smallest seq of its group); events without a duplicate are groups of one. Rows that repeat a seq
+    are one report."""
+    ev = ev.dropDuplicates(["seq"])
+    member = connected_components(duplicate_links(ev, **options))
     return ev.select("seq").join(member, F.col("seq") == F.col("node"), "left").select("seq", F.coalesce("component", "seq").alias("incident"))
 
 
 def merge(ev: DataFrame, **options) -> DataFrame:
-    """One row for each incident: earliest date, largest magnitude, longest texts, the commonest type, sources joined."""
+    """One row for each incident: earliest date, largest magnitude, longest texts, the commonest type, sources joined, the
+    first link, and all tags with merged:<reports> and, of several reports, src:<id> of each. Rows that repeat a seq are
+    one report."""
+    ev = ev.dropDuplicates(["seq"])
     got = ev.join(incident_groups(ev, **options), "seq")
     longest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("seq"))).alias(c)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     kinds = got.groupBy("incident", "event_type").agg(F.count("*").alias("n"), F.min("seq").alias("_f"))
     kind = kinds.groupBy("incident").agg(F.max_by("event_type", F.struct("n", -F.col("_f"))).alias("_top"), F.max_by("event_type", F.when(F.col("event_type") != "other", F.struct("n", -F.col("_f")))).alias("_special"))
+    none = F.array().cast("array<string>")
+    more = [F.min(F.when(F.col("source_url") != "", F.col("source_url"))).alias("source_url")] if "source_url" in ev.columns else []
+    if "tags" in ev.columns:
+        ids = F.array_compact(F.collect_set(F.concat(F.lit("src:"), F.col("id").cast("string")))) if "id" in ev.columns else none
+        tags = F.concat(F.flatten(F.collect_set(F.coalesce("tags", none))), F.array(F.concat(F.lit("merged:"), F.count("*"))), F.when(F.count("*") > 1, ids).otherwise(none))
+        more.append(F.sort_array(F.array_distinct(tags)).alias("tags"))
     folded = got.groupBy("incident").agg(
         F.count("*").alias("reports"), F.min("date").alias("date"), F.max("magnitude").alias("magnitude"), *[longest(c) for c in ("actor1", "actor2", "country", "region", "location", "notes")], first("lat"), first("lon"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("source") != "", F.col("source")))), " | ").alias("source"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("source") != "", F.col("source")))), " | ").alias("source"), *more,
     )
+    if more and "source_url" in ev.columns:
+        folded = folded.withColumn("source_url", F.coalesce("source_url", F.lit("")))
     return folded.join(kind, "incident").withColumn("event_type", F.when((F.col("_top") == "other") & F.col("_special").isNotNull(), F.col("_special")).otherwise(F.col("_top"))).drop("_top", "_special")
 
 

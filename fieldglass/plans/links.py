@@ -47,7 +47,9 @@ _MERGED = _INC + f""", kn AS (SELECT incident, event_type, count(*) AS n, min(se
 kt AS (SELECT incident, arg_max(event_type, n * 1000000000000 - f) AS top, arg_max(event_type, n * 1000000000000 - f) FILTER (WHERE event_type <> 'other') AS special FROM kn GROUP BY 1),
 fd AS (SELECT incident, count(*) AS reports, min(date) AS date, max(magnitude) AS magnitude, {", ".join(map(_LONG, ("actor1", "actor2", "country", "region", "location", "notes")))}, arg_min(lat, seq) AS lat, arg_min(lon, seq) AS lon, array_to_string(list_sort(list_distinct(list(source))), ' | ') AS source FROM ic GROUP BY 1),
 mg AS (SELECT fd.*, CASE WHEN top = 'other' AND special IS NOT NULL THEN special ELSE top END AS event_type FROM fd JOIN kt USING (incident))"""
-_add("merge", lambda e: L.merge(e, **_OPT), _MERGED + " SELECT * FROM mg")
+_tagged = lambda e: e.withColumns({"id": F.concat(F.lit("e"), "seq"), "source_url": F.expr("CASE WHEN seq % 2 = 0 THEN concat('http://x/', seq) ELSE '' END"), "tags": F.expr("CASE seq % 3 WHEN 0 THEN array('armor', 'b:1') WHEN 1 THEN array('drone-uas') ELSE array() END")})
+_add("merge", lambda e: L.merge(_tagged(e), **_OPT).withColumn("tags", F.array_join("tags", ",")), _MERGED + """, tg AS (SELECT incident, coalesce(min(CASE WHEN seq % 2 = 0 THEN concat('http://x/', seq) END), '') AS source_url, array_to_string(list_sort(list_distinct(list_concat(flatten(list(CASE seq % 3 WHEN 0 THEN ['armor', 'b:1'] WHEN 1 THEN ['drone-uas'] ELSE [] END)),
+['merged:' || count(*)], CASE WHEN count(*) > 1 THEN list('src:e' || seq) ELSE [] END))), ',') AS tags FROM ic GROUP BY 1) SELECT mg.*, source_url, tags FROM mg JOIN tg USING (incident)""")
 _add("merge_report", lambda e: L.merge_report(L.merge(e, **_OPT)), _MERGED + " SELECT CAST(sum(reports) AS BIGINT) AS reports, count(*) AS incidents, count(*) FILTER (WHERE reports > 1) AS merged, max(reports) AS largest FROM mg")
 
 # Graphs: ties of at least eight events, so that the graph isn't complete ---------------------------------------------
@@ -68,17 +70,24 @@ _add("betweenness", _graph(lambda n, e: _R(G.betweenness(n, e), "score")), _G +
 pc AS (SELECT s, t, 0 AS d, 1.0::DOUBLE AS n FROM ds WHERE s = t UNION ALL SELECT s, t, d, n FROM (SELECT pc.s, bw.dst AS t, pc.d + 1 AS d, sum(pc.n) OVER (PARTITION BY pc.s, bw.dst, pc.d) AS n, row_number() OVER (PARTITION BY pc.s, bw.dst, pc.d ORDER BY bw.src) AS k FROM pc JOIN bw ON bw.src = pc.t JOIN ds ON ds.s = pc.s AND ds.t = bw.dst AND ds.d = pc.d + 1) WHERE k = 1),
 bt AS (SELECT v.t AS actor, sum(x.n * y.n / z.n) AS b FROM pc x JOIN ds v ON v.s = x.s AND v.t = x.t JOIN pc y ON y.s = x.t JOIN pc z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.s <> x.t AND y.s <> y.t AND x.s <> y.t GROUP BY 1)
 SELECT actor, round(coalesce(b, 0.0) * 0.5 / (((SELECT count(*) FROM nd) - 1) * ((SELECT count(*) FROM nd) - 2) / 2), 6) + 0.0 AS score FROM nd LEFT JOIN bt USING (actor)""")
-_add("closeness_weighted", _graph(lambda n, e: _R(G.closeness(n, e, weighted=True), "score")))
+_add("closeness_weighted", _graph(lambda n, e: _R(G.closeness(n, e, weighted=True), "score")), _G + """, wp AS (SELECT 0 AS k, (SELECT list({'s': actor, 't': actor, 'd': 0.0::DOUBLE} ORDER BY actor) FROM nd) AS v UNION ALL
+SELECT k + 1, (SELECT list({'s': s, 't': t, 'd': d} ORDER BY s, t) FROM (SELECT s, t, min(d) AS d FROM (SELECT s, t, d FROM (SELECT unnest(wp.v, recursive := true)) UNION ALL SELECT u.s, bw.dst, u.d + 1 / bw.weight::DOUBLE FROM (SELECT unnest(wp.v, recursive := true)) u JOIN bw ON bw.src = u.t) GROUP BY 1, 2)) FROM wp WHERE k < 30),
+ds AS (SELECT unnest(v, recursive := true) FROM wp WHERE k = 30) SELECT s AS actor, round(CASE WHEN sum(d) > 0 THEN ((count(*) - 1) / sum(d)::DOUBLE) * ((count(*) - 1)::DOUBLE / ((SELECT count(*) FROM nd) - 1)) ELSE 0.0 END, 6) + 0.0 AS score FROM ds GROUP BY s""")
 _add("betweenness_weighted", _graph(lambda n, e: _R(G.betweenness(n, e, weighted=True), "score")))
-_add("pagerank", _graph(lambda n, e: _R(G.pagerank(n, e, rounds=30), "score")), _G + """, cnt AS (SELECT count(*)::DOUBLE AS n FROM nd), sh AS (SELECT src, dst, weight::DOUBLE / sum(weight) OVER (PARTITION BY src) AS p FROM bw),
+_add("pagerank", _graph(lambda n, e: _R(G.pagerank(n, e), "score")), _G + """, cnt AS (SELECT count(*)::DOUBLE AS n FROM nd), sh AS (SELECT src, dst, weight::DOUBLE / sum(weight) OVER (PARTITION BY src) AS p FROM bw),
 rk AS (SELECT 0 AS k, (SELECT list({'actor': actor, 'score': 1.0::DOUBLE / n} ORDER BY actor) FROM nd, cnt) AS v UNION ALL
-SELECT k + 1, (SELECT list({'actor': q.actor, 'score': 0.15::DOUBLE / n + 0.85::DOUBLE * (q.i + (1 - q.tot) / n)} ORDER BY q.actor) FROM (SELECT nd.actor, coalesce(m.i, 0.0) AS i, sum(coalesce(m.i, 0.0)) OVER () AS tot FROM nd LEFT JOIN (SELECT sh.dst, sum(sh.p * u.score) AS i FROM (SELECT unnest(rk.v, recursive := true)) u JOIN sh ON sh.src = u.actor GROUP BY 1) m ON m.dst = nd.actor) q, cnt) FROM rk WHERE k < 30)
-SELECT actor, round(score, 6) + 0.0 AS score FROM (SELECT unnest(v, recursive := true) FROM rk WHERE k = 30)""")
-_add("eigenvector", _graph(lambda n, e: _R(G.eigenvector(n, e, rounds=25), "score")))
-_add("coreness", _graph(G.coreness))
+SELECT k + 1, (SELECT list({'actor': q.actor, 'score': 0.15::DOUBLE / n + 0.85::DOUBLE * (q.i + (1 - q.tot) / n)} ORDER BY q.actor) FROM (SELECT nd.actor, coalesce(m.i, 0.0) AS i, sum(coalesce(m.i, 0.0)) OVER () AS tot FROM nd LEFT JOIN (SELECT sh.dst, sum(sh.p * u.score) AS i FROM (SELECT unnest(rk.v, recursive := true)) u JOIN sh ON sh.src = u.actor GROUP BY 1) m ON m.dst = nd.actor) q, cnt) FROM rk WHERE k < 200)
+SELECT actor, round(score, 6) + 0.0 AS score FROM (SELECT unnest(v, recursive := true) FROM rk WHERE k = 200)""")
+_add("eigenvector", _graph(lambda n, e: _R(G.eigenvector(n, e), "score")), _G + """, rk AS (SELECT 0 AS k, (SELECT list({'actor': actor, 'score': 1.0::DOUBLE} ORDER BY actor) FROM nd) AS v UNION ALL
+SELECT k + 1, (SELECT list({'actor': q.actor, 'score': CASE WHEN q.norm > 0 THEN q.i / q.norm ELSE 0.0 END} ORDER BY q.actor) FROM (SELECT nd.actor, coalesce(m.i, 0.0) AS i, sqrt(sum(coalesce(m.i, 0.0) * coalesce(m.i, 0.0)) OVER ()) AS norm FROM nd LEFT JOIN (SELECT bw.dst, sum(bw.weight * u.score) AS i FROM (SELECT unnest(rk.v, recursive := true)) u JOIN bw ON bw.src = u.actor GROUP BY 1) m ON m.dst = nd.actor) q) FROM rk WHERE k < 200)
+SELECT actor, round(score, 6) + 0.0 AS score FROM (SELECT unnest(v, recursive := true) FROM rk WHERE k = 200)""")
+# The coreness of an actor is the limit of: the largest k for which k neighbours have a value of k or more, from the degree on.
+_add("coreness", _graph(G.coreness), _G + _DEG + """, rk AS (SELECT 0 AS k, (SELECT list({'actor': actor, 'c': degree} ORDER BY actor) FROM dg) AS v UNION ALL
+SELECT k + 1, (SELECT list({'actor': q.actor, 'c': q.c} ORDER BY q.actor) FROM (SELECT actor, coalesce(max(least(c, r)), 0) AS c FROM (SELECT nd.actor, u.c, row_number() OVER (PARTITION BY nd.actor ORDER BY u.c DESC) AS r FROM nd JOIN bw ON bw.src = nd.actor JOIN (SELECT unnest(rk.v, recursive := true)) u ON u.actor = bw.dst) GROUP BY actor) q) FROM rk WHERE k < 60)
+SELECT nd.actor, CAST(coalesce(c, 0) AS INT) AS core FROM nd LEFT JOIN (SELECT unnest(v, recursive := true) FROM rk WHERE k = 60) z ON z.actor = nd.actor""")
 _add("communities", _graph(G.communities))
 _add("graph_ranking", _graph(lambda n, e: G.ranking(n, e, "strength", 10)), _G + _DEG + " SELECT actor, strength::DOUBLE AS score FROM dg ORDER BY score DESC, actor LIMIT 10")
-_add("graph_leaders", _graph(lambda n, e: G.leaders(n, e)))
+_add("graph_leaders", _graph(lambda n, e: G.leaders(n, e)), _G + _DEG + " SELECT count(*) AS actors, (SELECT count(*) FROM ge) AS ties, (SELECT actor FROM dg ORDER BY degree DESC, actor LIMIT 1) AS top_degree, (SELECT actor FROM dg ORDER BY strength DESC, actor LIMIT 1) AS top_strength FROM dg")
 
 # Flux ---------------------------------------------------------------------------------------------------------------
 _W = """, lo AS (SELECT min(date) AS lo FROM evs), wk AS (SELECT e.*, CAST((date - lo) // 5 AS INT) AS kk, lo FROM evs e, lo), wn AS (SELECT kk, CAST(row_number() OVER (ORDER BY kk) - 1 AS INT) AS w FROM (SELECT DISTINCT kk FROM wk)),
@@ -96,8 +105,11 @@ _path = lambda p: _R(W.trajectories(p).withColumn("degrees", F.array_join(F.tran
 _add("flux_trajectories", _placed(_path), _TR + " SELECT * FROM tj")
 _add("flux_rising", _placed(lambda p: W.rising(_path(p), 10)), _TR + " SELECT * FROM tj WHERE slope > 0 ORDER BY slope DESC, actor LIMIT 10")
 _add("flux_fading", _placed(lambda p: W.fading(_path(p), 10)), _TR + " SELECT * FROM tj WHERE slope < 0 ORDER BY slope, actor LIMIT 10")
-_add("flux_emerging", lambda e: W.emerging(_path(W.windows(e.where("NOT (actor1 IN ('u1', 'u2') OR actor2 IN ('u1', 'u2')) OR date >= DATE '2024-01-27'"), 5)), 1))
-_add("flux_departed", lambda e: W.departed(_path(W.windows(e.where("NOT (actor1 IN ('u1', 'u2') OR actor2 IN ('u1', 'u2')) OR date < DATE '2024-01-20'"), 5)), 1))
+# All actors of the view meet in every window, so two of them are kept out of the first, or of the last, windows.
+_without = lambda until: f", evw AS (SELECT * FROM evs WHERE NOT (actor1 IN ('u1', 'u2') OR actor2 IN ('u1', 'u2')) OR date {until})"
+_TR_NEW, _TR_GONE = (_without(until) + _TR.replace("FROM evs", "FROM evw") for until in (">= DATE '2024-01-27'", "< DATE '2024-01-20'"))
+_add("flux_emerging", lambda e: W.emerging(_path(W.windows(e.where("NOT (actor1 IN ('u1', 'u2') OR actor2 IN ('u1', 'u2')) OR date >= DATE '2024-01-27'"), 5)), 1), _TR_NEW + " SELECT * FROM tj WHERE first > last_window - 1 AND first > 0")
+_add("flux_departed", lambda e: W.departed(_path(W.windows(e.where("NOT (actor1 IN ('u1', 'u2') OR actor2 IN ('u1', 'u2')) OR date < DATE '2024-01-20'"), 5)), 1), _TR_GONE + " SELECT * FROM tj WHERE last <= last_window - 1")
 _add("flux_tie_changes", _placed(W.tie_changes), _W + ', o AS (SELECT w + 1 AS "to", a, b FROM ti), n AS (SELECT w AS "to", a, b FROM ti), fj AS (SELECT coalesce(o."to", n."to") AS "to", o.a AS oa, n.a AS na FROM o FULL JOIN n ON o."to" = n."to" AND o.a = n.a AND o.b = n.b) SELECT CAST("to" AS INT) AS "to", count(*) FILTER (WHERE oa IS NULL) AS formed, count(*) FILTER (WHERE na IS NULL) AS dissolved, count(*) FILTER (WHERE oa IS NOT NULL AND na IS NOT NULL) AS kept FROM fj, wm WHERE "to" BETWEEN 1 AND lw GROUP BY 1')
 _add("flux_persistent_ties", _placed(W.persistent_ties), _W + " SELECT a, b, count(*) AS windows, CAST(sum(weight) AS BIGINT) AS weight FROM ti, wm GROUP BY a, b, lw HAVING count(*) = lw + 1")
 _add("flux_emerging_ties", _placed(W.emerging_ties), _W + " SELECT a, b, CAST(sum(weight) AS BIGINT) AS weight FROM ti, wm GROUP BY a, b, lw HAVING min(w) = lw AND lw > 0")

@@ -35,7 +35,9 @@ _bench = lambda s, d: T.postings(_table(s, d, "benchmark"), "item_id", F.col("te
 _add("tf_idf", lambda s, d: T.tf_idf(_bench(s, d)).select("doc", "term", "tf", F.round("weight", 6).alias("weight"), F.round("norm", 6).alias("norm")), _TF("benchmark", "item_id") + " SELECT doc, term, tf, round(weight, 6) AS weight, round(norm, 6) AS norm FROM we JOIN no USING (doc)")
 _add("keywords", lambda s, d: T.keywords(_bench(s, d)), _TF("benchmark", "item_id") + " SELECT doc, CAST(rank AS INT) AS rank, term FROM (SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY round(weight, 9) DESC, term) AS rank FROM we) WHERE rank <= 6")
 _add("related_docs", lambda s, d: T.related(_bench(s, d), _bench(s, d).select("doc")), _TF("benchmark", "item_id") + " SELECT \"of\", doc, cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY \"of\" ORDER BY cosine DESC, doc) AS rank FROM (SELECT a.doc AS \"of\", b.doc, round(sum(a.weight * b.weight) / max(m.norm) / max(k.norm), 9) AS cosine FROM we a JOIN we b ON a.term = b.term AND a.doc <> b.doc JOIN no k ON k.doc = a.doc JOIN no m ON m.doc = b.doc GROUP BY 1, 2)) WHERE rank <= 3")
-_add("snippets", lambda s, d: _table(s, d, "documents").select("doc_id", F.length(T.snippet(F.col("text"), ["hered", "than"])).alias("chars"), F.contains(T.snippet(F.col("text"), ["hered", "than"]), F.lit("**")).alias("hit")))
+_add("snippets", lambda s, d: _table(s, d, "documents").select("doc_id", T.snippet(F.col("text"), ["hered", "than"]).alias("snippet")), r"""WITH fl AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+hp AS (SELECT *, greatest(0, coalesce(list_min(list_filter([strpos(lower(t), 'hered'), strpos(lower(t), 'than')], lambda p: p > 0)), 1) - 1 - 40) AS pos FROM fl)
+SELECT doc_id, concat(CASE WHEN pos > 0 THEN '…' ELSE '' END, regexp_replace(substring(t, pos + 1, 120), '(?i)\b(hered|than)\b', '**\1**', 'g'), CASE WHEN length(t) > pos + 120 THEN '…' ELSE '' END) AS snippet FROM hp""")
 
 # Watch lists and entities ---------------------------------------------------------------------------------------------
 _TOK = lambda c: f"list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 ]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(WATCHLIST_STOPWORDS)})))"

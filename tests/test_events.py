@@ -7,7 +7,9 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
+from fieldglass.functions.fixed import REPORT_STOPWORDS
 from fieldglass.operators import aggregates as A
 from fieldglass.operators import detect as D
 from fieldglass.operators import flux as W
@@ -135,7 +137,7 @@ def brute_duplicate(a, b, days, radius, threshold):
         p, q = (a[7] or a[6]).lower(), (b[7] or b[6]).lower()
         c, d = a[5].lower(), b[5].lower()
         place = False if c and d and c != d else (p in q or q in p) if p and q else c == d and c != ""
-    stop = {"the", "and", "of", "in", "on", "at", "to", "by", "for", "from", "with", "near", "was", "were", "has", "have", "an", "is", "are", "as", "it", "its", "this", "that"}
+    stop = set(REPORT_STOPWORDS)
     words = lambda e: {w for w in " ".join([e[12], e[3], e[4], e[7], e[6]]).lower().split() if len(w) >= 2 and w not in stop}
     x, y = words(a), words(b)
     alike = (len(x & y) / len(x | y) if x | y else 0.0) >= threshold or (a[2] == b[2] and a[2] != "other")
@@ -168,6 +170,25 @@ def test_merge_folds_reports(spark):
     assert tuple(report) == (3, 2, 1, 2)
 
 
+def test_merge_unites_tags_and_counts_repeated_rows_once(spark):
+    rows = [event(1, 1, notes="convoy hit near bridge", lat=1.0, lon=1.0, event_type="battle"), event(2, 1, notes="convoy hit", lat=1.0, lon=1.0, event_type="battle"), event(9, 20, notes="lone")]
+    ev = frame(spark, rows + rows[:1])
+    ev = ev.withColumns({"id": F.concat(F.lit("i"), "seq"), "source_url": F.when(F.col("seq") == 2, "http://b").otherwise(F.lit("")), "tags": F.when(F.col("seq") == 1, F.array(F.lit("x"), F.lit("y"))).when(F.col("seq") == 2, F.array(F.lit("y")))})
+    got = L.merge(ev).orderBy("incident").collect()
+    assert [(r.incident, r.reports, r.source_url, r.tags) for r in got] == [(1, 2, "http://b", ["merged:2", "src:i1", "src:i2", "x", "y"]), (9, 1, "", ["merged:1"])]
+    assert L.clusters(ev, min_size=2).first()["size"] == 2
+
+
+def test_hot_place_links_by_classes(spark):
+    same = [event(i, 1, lat=5.0, lon=5.0, event_type="battle", notes="same words") for i in range(400)]
+    far = [event(1000, 1, lat=5.05, lon=5.0, event_type="battle", notes="other report")]
+    blank = [event(2000 + i, 1, country="", location="Old Town", lat=None, lon=None, event_type="battle") for i in range(30)] + [event(3000, 2, country="Mali", location="town", lat=None, lon=None, event_type="battle")]
+    ev = frame(spark, same + far + blank)
+    got = {r.seq: r.incident for r in L.incident_groups(ev).collect()}
+    assert all(got[i] == 0 for i in [*range(400), 1000]) and all(got[2000 + i] == 2000 for i in range(30)) and got[3000] == 2000
+    assert L.duplicate_links(ev).count() < 500
+
+
 def graph(seed, n=14, p=0.25):
     r = random.Random(seed)
     return [(f"n{i:02d}", f"n{j:02d}", r.randrange(1, 5)) for i in range(n) for j in range(i + 1, n) if r.random() < p], [f"n{i:02d}" for i in range(n + 1)]
