@@ -53,5 +53,12 @@ _twice = lambda e: e.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
 Q["dedupe_streamed"] = lambda s, d: run(S.dedupe_stream(_twice(_stream(s, d)), "event_id").select("event_id", "user_id", "event_type"), "append")
 O["dedupe_streamed"] = "SELECT event_id, user_id, event_type FROM events"
 
-_incidents = lambda e: S.incident_store(e.select(F.concat(F.lit("C"), (F.col("user_id") % 10).cast("string")).alias("country"), F.col("event_id").alias("seq"), F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type")).otherwise("other").alias("event_type"), F.concat(F.lit("L"), (F.col("user_id") % 40).cast("string")).alias("place"), X.tokens(F.col("props")).alias("words")))
+_kind = lambda: F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type")).otherwise("other")
+_incidents = lambda e: S.incident_store(e.select(
+    F.concat(F.lit("C"), (F.col("user_id") % 10).cast("string")).alias("country"), F.col("event_id").alias("seq"), F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"), _kind().alias("event_type"),
+    F.concat(F.lit("L"), (F.col("user_id") % 40).cast("string")).alias("place"), X.tokens(F.col("props")).alias("words"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("value").alias("magnitude"), F.lit("s").alias("source"),
+))
 Q["incidents_streamed"] = lambda s, d: run(_incidents(_stream(s, d)), "append")
+_acting = lambda e: S.entity_stream(e.select(F.col("ts").cast("date").alias("date"), F.concat(F.lit("C"), (F.col("user_id") % 10).cast("string")).alias("country"), "event_type", F.concat(F.lit("the Unit "), (F.col("user_id") % 60).cast("string")).alias("actor1"), F.when(F.col("event_type") == "error", "IDF").otherwise("").alias("actor2")))
+Q["entities_streamed"] = lambda s, d: run(_acting(_stream(s, d)), "complete")
+O["entities_streamed"] = "SELECT entity, count(*) AS mentions, min(date) AS first_seen, max(date) AS last_seen, CAST(count(DISTINCT event_type) AS INT) AS types, CAST(count(DISTINCT country) AS INT) AS countries FROM (SELECT 'Unit ' || user_id % 60 AS entity, CAST(ts AS DATE) AS date, event_type, user_id % 10 AS country FROM events UNION ALL SELECT 'Israel Defense Forces', CAST(ts AS DATE), event_type, user_id % 10 FROM events WHERE event_type = 'error') GROUP BY 1"

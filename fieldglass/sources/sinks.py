@@ -22,6 +22,12 @@ def to_jsonl(ev: DataFrame) -> DataFrame:
     return ev.select(F.to_json(F.struct("*", X.severity().alias("severity"))).alias("value"))
 
 
+def to_json(ev: DataFrame, most: int = 1_000_000) -> str:
+    """One JSON list of all events with their severity. It is a single text, so it refuses over ``most`` events: write
+    ``to_jsonl`` for more."""
+    return wrap(to_jsonl(ev), "[", "]", ",\n", most)
+
+
 def to_geojson_features(ev: DataFrame) -> DataFrame:
     """A feature a row, for located events."""
     props = F.struct(*[c for c in ev.columns if c not in ("lat", "lon")], X.severity().alias("severity"))
@@ -110,7 +116,7 @@ def to_intsum(ev: DataFrame, window: int = 7) -> str:
     return "\n".join([f"PERIOD: {r['first']} - {r['last']}", f"EVENTS: {r['events']}  MAGNITUDE: {r['magnitude']}", f"TREND: {r['word']} ({r['recent']} against {r['prior']})", "HOTSPOTS: " + "; ".join(f"{h['country']}/{h['place']} ({h['events']})" for h in r["hotspots"])])
 
 
-EXPORTS: dict[str, Callable[[DataFrame], str | DataFrame]] = {"jsonl": to_jsonl, "geojson": to_geojson, "stix": to_stix, "kml": to_kml, "csv": csv_rows, "markdown": to_markdown, "intsum": to_intsum, "json": lambda ev: json.dumps(report(ev), default=str)}
+EXPORTS: dict[str, Callable[[DataFrame], str | DataFrame]] = {"jsonl": to_jsonl, "geojson": to_geojson, "stix": to_stix, "kml": to_kml, "csv": csv_rows, "markdown": to_markdown, "intsum": to_intsum, "json": to_json, "report": lambda ev: json.dumps(report(ev), default=str)}
 
 
 def export(ev: DataFrame, fmt: str) -> str | DataFrame:

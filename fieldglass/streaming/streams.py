@@ -5,6 +5,8 @@ country and neighbouring days, in arrival order."""
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.exprs import EARTH_KM, canonical
+from ..functions.fixed import ACTOR_ALIASES
+
 
 def dedupe_stream(ev: DataFrame, key: str = "id", time: str = "ts", late: str = "2 days") -> DataFrame:
     """The first row of each key within the watermark; state is dropped behind it."""
@@ -32,48 +37,82 @@ def sessions(ev: DataFrame, gap: str, keys: tuple[str, ...], time: str = "ts", l
     return got.select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
-INCIDENT = "country string, seq long, cluster long, is_new boolean, size long"
-_STATE = "next long, ids array<long>, days array<int>, types array<string>, words array<string>, places array<string>, sizes array<long>"
+INCIDENT = "country string, seq long, cluster long, is_new boolean, size long, day int, event_type string, place string, lat double, lon double, magnitude long, sources string"
+_STATE = "next long, open string"
+
+
+def _near(a: dict, b: dict, country: str, radius_km: float) -> bool:
+    """By distance where both are located; else one place's name holds the other, or one is blank in a named country."""
+    if None not in (a["lat"], a["lon"], b["lat"], b["lon"]):
+        x, y = math.radians(a["lat"]), math.radians(b["lat"])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h))) <= radius_km
+    p, q = a["place"].lower(), b["place"].lower()
+    return (p in q or q in p) if p and q else bool(country)
+
 
+def _similar(a: dict, b: dict, threshold: float) -> bool:
+    x, y = set(a["words"]), set(b["words"])
+    return (bool(x | y) and len(x & y) / len(x | y) >= threshold) or (a["kind"] == b["kind"] != "other")
 
-def _alike(words: set, kind: str, place: str, other_words: set, other_kind: str, other_place: str, threshold: float) -> bool:
-    """Places must be alike (one inside the other, or either blank), and the words, or the same specific type."""
-    if place and other_place and place not in other_place and other_place not in place:
-        return False
-    union = len(words | other_words)
-    return (union > 0 and len(words & other_words) / union >= threshold) or (kind == other_kind and kind != "other")
 
+def _folded(incident: dict, event: dict) -> dict:
+    """The canonical record with one report more: earliest day, largest magnitude, longest place and words, the first
+    coordinates, the commonest type (other only if there is none else, ties to the one that came first), all sources."""
+    kinds = incident["kinds"]
+    kinds[event["kind"]] = kinds.get(event["kind"], 0) + 1
+    named = {k: n for k, n in kinds.items() if k != "other"}
+    top = max(kinds, key=kinds.get)
+    return {
+        "id": incident["id"], "size": incident["size"] + 1, "kinds": kinds, "kind": max(named, key=named.get) if top == "other" and named else top, "day": min(incident["day"], event["day"]),
+        "place": max(incident["place"], event["place"], key=len), "words": max(incident["words"], event["words"], key=len), "magnitude": max(incident["magnitude"], event["magnitude"]),
+        "lat": incident["lat"] if incident["lat"] is not None else event["lat"], "lon": incident["lon"] if incident["lon"] is not None else event["lon"], "sources": sorted({*incident["sources"], *event["sources"]}),
+    }
 
-def incident_store(ev: DataFrame, day_gap: int = 1, threshold: float = 0.5, keep_days: int = 60) -> DataFrame:
-    """For each event its incident: the lowest-numbered open one of its country that it matches, or a new one.
 
-    State is one row a country, of incidents seen in the last ``keep_days``, so it doesn't grow with the stream. ev has seq,
-    country, day (int), event_type, place, words (array)."""
+def incident_store(ev: DataFrame, day_gap: int = 1, threshold: float = 0.5, keep_days: int = 60, radius_km: float = 15.0) -> DataFrame:
+    """For each event its incident: the lowest-numbered open one of its country that it matches, or a new one; with the
+    incident's canonical record as it is then.
+
+    Events meet the incidents of neighbouring days only. State is one row a country, of incidents seen in the last
+    ``keep_days``, so it doesn't grow with the stream; a country's events of one micro-batch are held at once, so bound
+    batches at the source. ev has seq, country, day (int), event_type, place, words (array), lat, lon, magnitude, source.
+    Events without a day are incidents of their own, which nothing joins."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, ids, days, types, words, places, sizes = state.get if state.exists else (0, [], [], [], [], [], [])
-        kept = [list(x) for x in (ids, days, types, words, places, sizes)]
-        rows = pd.concat(list(frames)).sort_values("seq")
+        following, text = state.get if state.exists else (0, "[]")
+        known = {x["id"]: x for x in json.loads(text)}
+        by_day: dict[int, set[int]] = {}
+        for x in known.values():
+            by_day.setdefault(x["day"], set()).add(x["id"])
+        number = lambda v: None if v is None or pd.isna(v) else float(v)
         out = []
-        for r in rows.itertuples():
-            mine, place = set(r.words), (r.place or "").lower()
-            hit = -1
-            if r.day is not None and not pd.isna(r.day):
-                hit = next((i for i, (d, t, w, p) in enumerate(zip(*kept[1:5], strict=True)) if abs(d - int(r.day)) <= day_gap and _alike(mine, r.event_type, place, set(w.split()), t, p, threshold)), -1)
-            if hit < 0:
-                for to, x in zip(kept, (nxt, int(r.day) if not pd.isna(r.day) else -10**9, r.event_type, " ".join(sorted(mine)), place, 1), strict=True):
-                    to.append(x)
-                out.append((key[0], int(r.seq), nxt, True, 1))
-                nxt += 1
-                continue
-            kept[5][hit] += 1
-            kept[1][hit] = min(kept[1][hit], int(r.day))
-            if len(mine) > len(kept[3][hit].split()):  # the longest text is canonical
-                kept[3][hit] = " ".join(sorted(mine))
-            out.append((key[0], int(r.seq), kept[0][hit], False, kept[5][hit]))
-        newest = max(kept[1], default=0)
-        live = [i for i, d in enumerate(kept[1]) if d >= newest - keep_days]
-        state.update((nxt, *[[x[i] for i in live] for x in kept]))
-        yield pd.DataFrame(out, columns=["country", "seq", "cluster", "is_new", "size"])
+        for r in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+            day = None if r.day is None or pd.isna(r.day) else int(r.day)
+            event = {"kind": r.event_type, "place": r.place or "", "words": sorted(set(r.words)), "lat": number(r.lat), "lon": number(r.lon), "magnitude": int(number(r.magnitude) or 0), "day": day, "sources": [r.source] if r.source else []}
+            near = sorted(i for d in range(day - day_gap, day + day_gap + 1) for i in by_day.get(d, ())) if day is not None else []
+            hit = next((i for i in near if _near(known[i], event, key[0] or "", radius_km) and _similar(known[i], event, threshold)), None)
+            if hit is None:
+                now = event | {"id": following, "size": 1, "kinds": {event["kind"]: 1}}
+                following += 1
+            else:
+                now = _folded(known[hit], event)
+                by_day[known[hit]["day"]].discard(hit)
+            if day is not None:
+                known[now["id"]] = now
+                by_day.setdefault(now["day"], set()).add(now["id"])
+            out.append((key[0], int(r.seq), now["id"], hit is None, now["size"], now["day"], now["kind"], now["place"], now["lat"], now["lon"], now["magnitude"], " | ".join(now["sources"])))
+        newest = max(by_day, default=0) if not known else max(x["day"] for x in known.values())
+        state.update((following, json.dumps([x for x in known.values() if x["day"] >= newest - keep_days])))
+        made = pd.DataFrame(out, columns=[c.split()[0] for c in INCIDENT.split(", ")])
+        yield made.astype({"day": "Int32"})
 
     return ev.groupBy("country").applyInPandasWithState(step, INCIDENT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def entity_stream(ev: DataFrame) -> DataFrame:
+    """The registry of actors of a stream, as it grows (update or complete mode): entity, mentions, first and last day, and
+    counts of types and of places. Counts by type and place are kept, so state grows with actors, not with events."""
+    slots = ev.select("date", "country", "event_type", F.explode(F.array("actor1", "actor2")).alias("surface")).where("trim(surface) <> ''")
+    named = slots.withColumn("entity", canonical(F.col("surface"), ACTOR_ALIASES)).where("entity <> ''")
+    return named.groupBy("entity").agg(F.count("*").alias("mentions"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.size(F.collect_set("event_type")).alias("types"), F.size(F.collect_set("country")).alias("countries"))

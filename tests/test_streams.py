@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,35 +9,53 @@ from pyspark.sql import functions as F
 from fieldglass.plans.streams import run
 from fieldglass.streaming import streams as S
 
-SCHEMA = "seq long, country string, day int, event_type string, place string, words array<string>"
+SCHEMA = "seq long, country string, day int, event_type string, place string, words array<string>, lat double, lon double, magnitude int, source string"
 
 
-def brute(rows, day_gap=1, threshold=0.5):
-    """The store, event by event."""
+def km(a, b):
+    x, y = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371 * math.asin(math.sqrt(min(1, h)))
+
+
+def brute(rows, day_gap=1, threshold=0.5, radius=15.0):
+    """The store, event by event: incidents hold their reports, and the canonical record is made anew each time."""
     state, out = {}, []
-    for seq, country, day, kind, place, words in sorted(rows, key=lambda r: r[0]):
-        mine, place, hit = set(words), place.lower(), None
-        incidents = state.setdefault(country, [])
-        for i, c in enumerate(incidents):
-            if day is None or c["day"] is None or abs(c["day"] - day) > day_gap:
-                continue
-            if place and c["place"] and place not in c["place"] and c["place"] not in place:
+
+    def record(reports):
+        kinds = Counter(r[3] for r in reports)
+        best = max(kinds.values())
+        kind = next(k for k in kinds if kinds[k] == best)
+        if kind == "other" and len(kinds) > 1:
+            del kinds["other"]
+            kind = next(k for k in kinds if kinds[k] == max(kinds.values()))
+        place = next(r[4] for r in reports if len(r[4]) == max(len(x[4]) for x in reports))
+        words = next(set(r[5]) for r in reports if len(set(r[5])) == max(len(set(x[5])) for x in reports))
+        at = next(((r[6], r[7]) for r in reports if r[6] is not None), (None, None))
+        return min(r[2] for r in reports if r[2] is not None) if reports[0][2] is not None else None, kind, place, words, at, max(r[8] for r in reports), " | ".join(sorted({r[9] for r in reports}))
+
+    for row in sorted(rows, key=lambda r: r[0]):
+        seq, country, day, kind, place, words, lat, lon, magnitude, source = row
+        incidents, hit = state.setdefault(country, []), None
+        for i, reports in enumerate(incidents):
+            d, k, p, w, at, _, _ = record(reports)
+            if day is None or d is None or abs(d - day) > day_gap:
                 continue
-            both, either = len(mine & c["words"]), len(mine | c["words"])
-            if (either and both / either >= threshold) or (kind == c["kind"] and kind != "other"):
+            a, b = place.lower(), p.lower()
+            near = km(at, (lat, lon)) <= radius if None not in (*at, lat, lon) else (a in b or b in a) if a and b else country != ""
+            both, either = len(set(words) & w), len(set(words) | w)
+            if near and ((either and both / either >= threshold) or (kind == k and kind != "other")):
                 hit = i
                 break
         if hit is None:
-            incidents.append({"day": day, "kind": kind, "place": place, "words": mine, "size": 1})
-            out.append((country, seq, len(incidents) - 1, True, 1))
-            continue
-        c = incidents[hit]
-        c["size"] += 1
-        c["day"] = min(c["day"], day)
-        if len(mine) > len(c["words"]):
-            c["words"] = mine
-        out.append((country, seq, hit, False, c["size"]))
-    return sorted(out)
+            incidents.append([])
+            hit, new = len(incidents) - 1, True
+        else:
+            new = False
+        incidents[hit].append(row)
+        d, k, p, _, at, m, sources = record(incidents[hit])
+        out.append((country, seq, hit, new, len(incidents[hit]), d, k, p, *at, m, sources))
+    return sorted(out, key=repr)
 
 
 def source(spark, folder, batches, schema=SCHEMA):
@@ -47,9 +67,10 @@ def source(spark, folder, batches, schema=SCHEMA):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_incident_store_matches_brute_force(spark, tmp_path, seed):
     r = random.Random(seed)
-    rows = [(i, r.choice(["X", "Y"]), None if r.random() < 0.05 else r.randrange(8), r.choice(["battle", "other", "riots"]), r.choice(["", "Town", "town north", "hill"]), r.sample(["a1", "b2", "c3", "d4"], r.randrange(1, 4))) for i in range(120)]
+    spot = lambda: r.choice([(None, None), (10.0, 10.0), (10.05, 10.02), (12.0, 10.0)])
+    rows = [(i, r.choice(["X", "Y", ""]), None if r.random() < 0.05 else r.randrange(8), r.choice(["battle", "other", "riots"]), r.choice(["", "Town", "town north", "hill"]), r.sample(["a1", "b2", "c3", "d4"], r.randrange(0, 4)), *spot(), r.randrange(5), r.choice("ST")) for i in range(120)]
     df = source(spark, str(tmp_path / "src"), [rows])
-    got = sorted(tuple(x) for x in run(S.incident_store(df), "append").collect())
+    got = sorted((tuple(x) for x in run(S.incident_store(df), "append").collect()), key=repr)
     assert got == brute(rows)
 
 
