@@ -46,20 +46,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     n = names.count()
     if not n:
         return names.withColumn("score", F.lit(0.0))
-    out = both_ways(edges).withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share")
-    out = tables.keep(out)
-    rank = names.withColumn("score", F.lit(1.0 / n))
+    both = both_ways(edges)
+    out = tables.keep(both.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
+    tied = out.select(F.col("src").alias("_tied")).distinct()
+    lone = names.join(tied, F.col("actor") == F.col("_tied"), "left").select("actor", F.col("_tied").isNull().alias("lone"))
+    seen = {"loose": F.coalesce(F.sum(F.when(F.col("lone"), F.col("score"))), F.lit(0.0)), "moved": F.sum(F.abs(F.col("score") - F.col("_old"))), "total": F.sum("score")}
+    rank, now = tables.measured(lone.withColumn("score", F.lit(1.0 / n)).withColumn("_old", F.lit(0.0)), **seen)
     for _ in range(rounds):
         moved = out.join(rank, out["src"] == rank["actor"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
-        joined = rank.join(moved, F.col("actor") == F.col("dst"), "left").select("actor", "score", F.coalesce("_in", F.lit(0.0)).alias("_in"))
-        loose = 1.0 - joined.agg(F.sum("_in")).first()[0]  # what actors without ties hold
-        new = tables.keep(joined.select("actor", ((1 - damping) / n + damping * (F.col("_in") + loose / n)).alias("score"), "score").toDF("actor", "score", "_old"))
-        moved_by = new.agg(F.sum(F.abs(F.col("score") - F.col("_old")))).first()[0]
-        rank = new.select("actor", "score")
-        if moved_by < tolerance:
+        given = F.coalesce("_in", F.lit(0.0)) + now["loose"] / n  # what actors without ties hold is dealt to all
+        rank, now = tables.measured(rank.join(moved, F.col("actor") == F.col("dst"), "left").select("actor", "lone", ((1 - damping) / n + damping * given).alias("score"), F.col("score").alias("_old")), **seen)
+        if now["moved"] < tolerance:
             break
-    total = rank.agg(F.sum("score")).first()[0]
-    return rank.select("actor", (F.col("score") / total).alias("score"))
+    return rank.select("actor", (F.col("score") / now["total"]).alias("score"))
 
 
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
@@ -71,8 +70,8 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance
     score = names.withColumn("score", F.lit(1.0 / max(n, 1) ** 0.5))
     for _ in range(rounds):
         got = both.join(score, both["src"] == score["actor"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("weight")).alias("_in"))
-        raw = tables.keep(score.join(got, F.col("actor") == F.col("dst"), "left").select("actor", F.col("score").alias("_old"), F.coalesce("_in", F.lit(0.0)).alias("_in")))
-        norm = raw.agg(F.sqrt(F.sum(F.col("_in") * F.col("_in")))).first()[0]
+        raw, seen = tables.measured(score.join(got, F.col("actor") == F.col("dst"), "left").select("actor", F.col("score").alias("_old"), F.coalesce("_in", F.lit(0.0)).alias("_in")), squares=F.sum(F.col("_in") * F.col("_in")))
+        norm = (seen["squares"] or 0.0) ** 0.5
         if not norm:
             return names.withColumn("score", F.lit(0.0))
         new = raw.select("actor", (F.col("_in") / norm).alias("score"), "_old")

@@ -15,7 +15,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -43,6 +43,11 @@ class Tables:
         df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
+    def measured(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """As ``keep``, with aggregates of the rows that the same job computes as it writes them."""
+        seen = Observation()
+        return self.keep(df.observe(seen, *[m.alias(n) for n, m in metrics.items()])), seen.get
+
     def _remove(self) -> None:
         try:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -61,9 +66,9 @@ def connected_components(edges: DataFrame, tables: Tables | None = None) -> Data
         wide = sides.where("b > a").join(low, "a").select("m", "b").distinct()
         least = wide.groupBy("b").agg(F.min("m").alias("_to"))
         narrow = wide.join(least, "b").select(F.col("_to").alias("a"), F.explode(F.array("m", "b")).alias("b")).where("a < b").distinct()
-        edges = tables.keep(narrow)
-        now = tuple(edges.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before and now[0] == now[1]:
+        # A round that changes nothing has left stars: every edge leads to its smallest node.
+        edges, now = tables.measured(narrow, n=F.count("*"), rows=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
         before = now
 
