@@ -69,25 +69,32 @@ class SegmentTree:
     """The tree of one text. ``total`` is its token count; ``encoded`` counts pre-tokens encoded by edits so far."""
 
     def __init__(self, text: str, lens: list[int], counts: list[int]) -> None:
-        self.text, self.encoded = text, 0
-        self._build(lens, counts)
+        self.encoded = 0
+        self._build(text, lens, counts)
 
     @classmethod
     def of(cls, text: str, counter: Counter) -> SegmentTree:
         pieces = counter.split(text)
         return cls(text, list(map(len, pieces)), counter.counts(pieces))
 
-    def _build(self, lens: list[int], counts: list[int]) -> None:
+    def _build(self, text: str, lens: list[int], counts: list[int]) -> None:
         n = max(1, -(-len(lens) // BLOCK))
         self.size = 1 << (n - 1).bit_length()
-        self.lens = [lens[i : i + BLOCK] for i in range(0, len(lens), BLOCK)] + [[] for _ in range(self.size - n + (not lens))]
-        self.toks = [counts[i : i + BLOCK] for i in range(0, len(lens), BLOCK)] + [[] for _ in range(self.size - n + (not lens))]
-        self.chars, self.sums = [0] * (2 * self.size), [0] * (2 * self.size)
+        spare = self.size - n + (not lens)
+        self.lens = [lens[i : i + BLOCK] for i in range(0, len(lens), BLOCK)] + [[] for _ in range(spare)]
+        self.toks = [counts[i : i + BLOCK] for i in range(0, len(lens), BLOCK)] + [[] for _ in range(spare)]
+        self.chars, self.sums, self.parts, at = [0] * (2 * self.size), [0] * (2 * self.size), [], 0
         for i in range(self.size):
             self.chars[self.size + i], self.sums[self.size + i] = sum(self.lens[i]), sum(self.toks[i])
+            self.parts.append(text[at : at + self.chars[self.size + i]])
+            at += self.chars[self.size + i]
         for i in range(self.size - 1, 0, -1):
             self.chars[i], self.sums[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.sums[2 * i] + self.sums[2 * i + 1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     @property
     def total(self) -> int:
         return self.sums[1]
@@ -105,8 +112,8 @@ class SegmentTree:
                 node += 1
         return node - self.size, start
 
-    def _set(self, block: int, lens: list[int], counts: list[int]) -> None:
-        self.lens[block], self.toks[block] = lens, counts
+    def _set(self, block: int, text: str, lens: list[int], counts: list[int]) -> None:
+        self.parts[block], self.lens[block], self.toks[block] = text, lens, counts
         node = block + self.size
         self.chars[node], self.sums[node] = sum(lens), sum(counts)
         while node > 1:
@@ -114,45 +121,62 @@ class SegmentTree:
             self.chars[node], self.sums[node] = self.chars[2 * node] + self.chars[2 * node + 1], self.sums[2 * node] + self.sums[2 * node + 1]
 
     def edit(self, start: int, length: int, replacement: str, counter: Counter) -> None:
-        old = len(self.text)
+        """Only the blocks around the edit are read: as many as it takes to meet an old boundary again."""
+        old = self.chars[1]
         start = min(max(start, 0), old)
         end = min(start + max(length, 0), old)
         shift = len(replacement) - (end - start)
-        self.text = self.text[:start] + replacement + self.text[end:]
         # Left of the edit: keep pre-tokens that end at least CONTEXT characters before it.
         first, at = self._block_at(max(0, min(start - CONTEXT, old - 1)))
-        keep = 0
+        begin, keep = at, 0
         while keep < len(self.lens[first]) and at + self.lens[first][keep] + CONTEXT <= start:
             at += self.lens[first][keep]
             keep += 1
-        # Right of it: split anew until a boundary is an old one, moved by the edit.
+        stop, span = first + 1, at + len(self.parts[first]) - (at - begin)  # blocks read, and where they end in the old text
+        more = 1
+        while True:
+            while stop < self.size and (span < end or more):
+                span += len(self.parts[stop])
+                more -= bool(more) and span >= end
+                stop += 1
+            found = self._split(first, at, keep, begin, stop, start, end, replacement, shift, counter)
+            if found:
+                break
+            more = 2 * (stop - first)
+        text, lens, counts, block, index, place = found
+        self.encoded += len(lens)
+        rest = (self.parts[block][sum(self.lens[block][:index]) :], self.lens[block][index:], self.toks[block][index:]) if block < self.size else ("", [], [])
+        head = (self.parts[first][: at - begin], self.lens[first][:keep], self.toks[first][:keep])
+        for b in range(first + 1, min(block + 1, self.size)):
+            if self.lens[b]:
+                self._set(b, "", [], [])
+        self._set(first, head[0] + text + rest[0], head[1] + lens + rest[1], head[2] + counts + rest[2])
+        if len(self.lens[first]) > 8 * BLOCK:
+            self._build(self.text, *self.leaves())
+
+    def _split(self, first: int, at: int, keep: int, begin: int, stop: int, start: int, end: int, replacement: str, shift: int, counter: Counter) -> tuple | None:
+        """Pre-tokens from ``at`` until a boundary is an old one, moved by the edit; nothing if the blocks before ``stop`` don't
+        hold one. A boundary before the last character read doesn't depend on what follows."""
+        was = self.parts[first][at - begin :] + "".join(self.parts[first + 1 : stop])
+        now = was[: start - at] + replacement + was[end - at :]
+        whole = not any(self.parts[stop:])
         block, index, place = first, keep, at  # a cursor over old boundaries
         lens, counts, here = [], [], at
-        for m in counter.pattern.finditer(self.text, at):
+        for m in counter.pattern.finditer(now):
             if here >= start + len(replacement):
-                while place + shift < here and block < self.size:
+                while place + shift < here and block < stop:
                     if index < len(self.lens[block]):
                         place += self.lens[block][index]
                         index += 1
                     else:
                         block, index = block + 1, 0
-                if place >= end and place + shift == here:
-                    break
+                if place >= end and place + shift == here and block < stop:
+                    return now[: here - at], lens, counts, block, index, place
             piece = m.group()
             lens.append(len(piece))
             counts.append(counter.count(piece))
             here += len(piece)
-        else:
-            block, index = self.size, 0
-        self.encoded += len(lens)
-        rest = (self.lens[block][index:], self.toks[block][index:]) if block < self.size else ([], [])
-        head = (self.lens[first][:keep], self.toks[first][:keep])
-        for b in range(first + 1, min(block + 1, self.size)):
-            if self.lens[b]:
-                self._set(b, [], [])
-        self._set(first, head[0] + lens + rest[0], head[1] + counts + rest[1])
-        if len(self.lens[first]) > 8 * BLOCK:
-            self._build(*self.leaves())
+        return (now, lens, counts, self.size, 0, 0) if whole else None
 
 
 LEAVES = "doc_id long, text string, lens array<int>, counts array<int>"
