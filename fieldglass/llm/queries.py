@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": ann.query,
 }
 
-ORACLE: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
