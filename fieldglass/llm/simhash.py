@@ -183,7 +183,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # Small star: smaller neighbours and the node itself point at the smallest.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        edges = scratch.keep(small)
+        edges, old = scratch.keep(small), scratch.n
+        scratch.drop(old - 1)  # the round before: nothing reads it any more
         got = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first()
         if tuple(got) == state and got[0] == got[2]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
