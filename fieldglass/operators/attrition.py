@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .link import Tables
+
 KEYS = ["category", "side"]
 
 
@@ -70,8 +72,7 @@ def projected_days(projection: DataFrame, horizon: int = 30) -> DataFrame:
 
 def board(projection: DataFrame) -> DataFrame:
     """Scopes by how soon they run out; those that don't, last."""
-    order = Window.orderBy(F.col("days_left").asc_nulls_last(), "category", "side")
-    return projection.withColumn("rank", F.row_number().over(order))
+    return Tables(projection.sparkSession).ranked(projection, F.col("days_left").asc_nulls_last(), "category", "side")
 
 
 def balance(readings: DataFrame, left: str, right: str, as_of: date | None = None) -> DataFrame:

@@ -7,11 +7,12 @@ from __future__ import annotations
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.fixed import ADVISORIES, DRIVER_FLOOR, FACTOR_WEIGHTS, SEVERITIES, TIERS
+from .link import Tables
 
 DETECTORS = ("spike", "sustained-trend", "lethality-shift", "new-actor", "geo-spread", "new-hotspot")
 
@@ -87,8 +88,7 @@ def detect(ev: DataFrame, scope: str = "country", window: int = 7, baseline_wind
 
 def ranked(alerts: DataFrame) -> DataFrame:
     """Alerts with their place in the order by severity, then score."""
-    order = Window.orderBy(X.severity_rank(F.col("severity")).desc(), F.desc("score"), "scope", "detector", "evidence")
-    return alerts.withColumn("rank", F.row_number().over(order))
+    return Tables(alerts.sparkSession).ranked(alerts, X.severity_rank(F.col("severity")).desc(), F.desc("score"), "scope", "detector", "evidence")
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

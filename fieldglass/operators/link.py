@@ -48,6 +48,17 @@ class Tables:
         seen = Observation()
         return self.keep(df.observe(seen, *[m.alias(n) for n, m in metrics.items()])), seen.get
 
+    def ranked(self, df: DataFrame, *order: Column | str) -> DataFrame:
+        """Rows with their place (from 1) in a total order, as column rank. They are dealt by ranges and written, each range
+        is numbered by itself, and the sizes of the ranges before are added: no task holds all rows."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.keep(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = dealt.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_range", "_before")
+        place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+        # At most a row for each range.
+        return dealt.join(F.broadcast(sizes), "_range").withColumn("rank", (place + F.col("_before")).cast("int")).drop("_range", "_before")
+
     def _remove(self) -> None:
         try:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
