@@ -83,4 +83,4 @@ Q["alerts_as_of"], Q["alerts_severe"] = _severe("info"), _severe("high")
 _UNTIL = f"WITH {EV_STREAM}, evq AS (SELECT * FROM evs WHERE date <= DATE '2024-01-20') " + _aged("evq", "location", 3, 4) + _volume_sql(4) + _ACTOR_SQL + _PLACE_SQL + ", al AS (SELECT * FROM va UNION ALL SELECT * FROM aa UNION ALL SELECT * FROM pa)"
 O["alerts_as_of"], O["alerts_severe"] = f"{_UNTIL} {_ALERTS} al", f"{_UNTIL} SELECT * FROM ({_ALERTS} al) WHERE severity IN ('high', 'critical')"
 Q["report_registry"] = lambda s, d: T.entity_registry(T.to_events(ev_orders(s, d).select("seq", F.concat(F.lit("The Forces of "), F.initcap("region"), F.lit(" met the Red Brigade near Town on "), F.col("date").cast("string")).alias("text"))), 3)
-O["report_registry"] = f"WITH {EV_ORDERS}, r AS (SELECT date, 'Forces of ' || upper(region[1]) || lower(region[2:]) AS entity FROM evo UNION ALL SELECT date, 'Forces' FROM evo) SELECT entity, count(*) AS mentions, min(date) AS first_seen, max(date) AS last_seen, 1::BIGINT AS countries, 1::BIGINT AS types, 1::BIGINT AS surfaces FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"
+O["report_registry"] = f"WITH {EV_ORDERS}, r AS (SELECT date, 'Forces of ' || array_to_string(list_transform(string_split(region, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS entity FROM evo UNION ALL SELECT date, 'Forces' FROM evo) SELECT entity, count(*) AS mentions, min(date) AS first_seen, max(date) AS last_seen, 1::BIGINT AS countries, 1::BIGINT AS types, 1::BIGINT AS surfaces FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"
