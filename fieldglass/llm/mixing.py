@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 WEIGHTS, SHARE, MOST_COPIES, SEED = (5.0, 2.0, 1.0), 1.5, 2, 17
 #: Documents in a group of the first level, and residuals in a group of a later one.
@@ -35,7 +35,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source and size: the words of the whole text; and row and tie, null where docs has no _mix_row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n = [len(t.split()) if t else 0 for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3), b.column(4)], ["doc_id", "source", "size", "row", "tie"])
 

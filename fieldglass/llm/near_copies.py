@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .simhash import _UPPER
 
 WIDTH, BANDS, ROWS, SEED, CELL = 5, 32, 4, 42, 1 << 21
@@ -62,7 +62,7 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ids, content, size, keys = [], [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             words = words_of(text)
@@ -79,7 +79,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of id, text, and the content and cells that are asked of the id: cell, id and shingles."""
-    for b in batches:
+    for b in slices(batches):
         held, cells, ids, sets = 0, [], [], []
         for doc_id, text, content, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             words = words_of(text)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_shuffles, parts, table
+from .common import Scratch, free_shuffles, parts, slices, table
 from .suffix_array import SuffixArray
 
 LENGTH, GRAM, HOT = 100, 32, 20_000
@@ -237,7 +237,7 @@ CONTEXT = "h long, doc long, a long, context binary"
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of text, doc, and arrays of h and a: the contexts' bytes."""
-    for b in batches:
+    for b in slices(batches):
         h, doc, a, c = [], [], [], []
         for raw, d, hs, places in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             for x, place in sorted(zip(hs, places, strict=True)):
