@@ -9,8 +9,8 @@ Only hashes leave the first pass. Distinct (line, content) pairs are counted in
 line that a third of all documents share costs a task no more than any other; the join back to the documents is an
 equi-join without an aggregate that needs its partitioning, so adaptive execution can split a hot line.
 
-Defined cases: null and empty texts have no word and fail the base rules. Rows that repeat a document are judged alike; rows
-without an id are judged by their text as any other. A null host is a host of its own. An empty table gives an empty result; extra columns are ignored.
+Defined cases: null and empty texts have no word and fail the base rules. Rows that repeat an id, host and text are judged
+alike; rows that share an id, or have none, are judged each by its host and text. A null host is a host of its own. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +43,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _host(source: str | None) -> bytes:
+    return b"\1" + source.encode() if source is not None else b"\0"
+
+
+def _content(text: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
 def normalise_line(line: str) -> str:
     """Lower case, each run of digits as 0, every other run of signs and spaces as one space."""
     return _NOT_WORD.sub(" ", _DIGITS.sub("0", line.lower())).strip()
@@ -99,9 +107,8 @@ def features(docs: DataFrame) -> DataFrame:
             rows: list[list] = [[] for _ in range(10)]
             for doc_id, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""
-                host = b"\1" + source.encode() if source is not None else b"\0"
-                lines = line_counts(text, host)
-                content = _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+                host = _host(source)
+                lines, content = line_counts(text, host), _content(text)
                 for to, x in zip(rows, (doc_id, _signed(xxhash.xxh3_64_intdigest(host)), content, *base_counts(text), list(lines), list(lines.values())), strict=True):
                     to.append(x)
             schema = schema or pa.schema([(n, pa.int64()) for n in ("doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("line_keys", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
@@ -118,66 +125,78 @@ def frequent_lines(feats: DataFrame, min_docs: int = MIN_DOCS, share: float = SH
     return counted.join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs")).select("line")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT, feats: DataFrame | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_boiler_words, kept, and content (a hash); one row for each row of docs.
-    feats: the features of docs, if they are at hand."""
-    feats = Scratch(docs.sparkSession, "rules").keep(features(docs)) if feats is None else feats
-    lines = feats.select("doc_id", "content", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("doc_id", "content", F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
+_ROW = ["doc_id", "host", "content"]
+
+
+def _marked(feats: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """Id, host and content of rows that hold lines above the limit, and those lines with their words."""
+    lines = feats.select(*_ROW, F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select(*_ROW, F.col("x.line_keys").alias("line"), F.col("x.line_words").alias("words"))
     # A set, as rows that repeat a document hold the same lines. It is gathered by document, a dealing other than the
     # join's, so that the join may split a hot line.
-    hit = lines.join(frequent_lines(feats, min_docs, share), "line").groupBy("doc_id", "content").agg(F.collect_set(F.struct("line", "words")).alias("_set"))
-    boiler = hit.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.aggregate("_set", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("_boiler"))
-    out = feats.join(boiler, feats["doc_id"].eqNullSafe(boiler["_id"]) & (feats["content"] == boiler["_content"]), "left")
+    return lines.join(frequent_lines(feats, min_docs, share), "line").groupBy(*_ROW).agg(F.collect_set(F.struct("line", "words")).alias("lines"))
+
+
+def _judged(feats: DataFrame, min_docs: int, share: float, least_left: float) -> DataFrame:
+    hit = _marked(feats, min_docs, share).select(*[F.col(c).alias(f"_{c}") for c in _ROW], F.col("lines").alias("_lines"))
+    match = feats["doc_id"].eqNullSafe(hit["_doc_id"]) & (feats["host"] == hit["_host"]) & (feats["content"] == hit["_content"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    gone = F.coalesce("_boiler", F.lit(0).cast("long"))
-    return out.select(
+    gone = F.coalesce(F.aggregate("_lines", F.lit(0).cast("long"), lambda n, x: n + x["words"]), F.lit(0).cast("long"))
+    return feats.join(hit, match, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("n_words") - gone >= least_left * F.col("n_words"))).alias("kept"), gone.alias("n_boiler_words"), "content",
+        (~failed & (F.col("n_words") - gone >= least_left * F.col("n_words"))).alias("kept"), gone.alias("n_boiler_words"), "content", "host", F.col("_lines").alias("lines"),
     )
 
 
-def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of docs that aren't among the rejected: _judged_id and _judged_content, the hash of the text."""
-
-    def digest(texts):
-        import pandas as pd
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT, feats: DataFrame | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_boiler_words, kept, and content (a hash); one row for each row of docs.
+    feats: the features of docs, if they are at hand."""
+    feats = Scratch(docs.sparkSession, "rules").keep(features(docs)) if feats is None else feats
+    return _judged(feats, min_docs, share, least_left).drop("host", "lines")
 
-        return pd.Series([_signed(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"))) for t in texts])
 
+def _act(docs: DataFrame, acted: DataFrame) -> DataFrame:
+    """The rows of docs that acted (id, host and content of a row, kept, and lines to cut) doesn't reject, their lines cut.
+    Rows meet by id, host and content together, so rows without an id, or that share one, aren't one group."""
     import pandas as pd
 
-    digest.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    ids = bad.groupBy(F.col("_judged_id").alias("_rejected_id")).agg(F.collect_set("_judged_content").alias("_rejected"))
-    joined = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_rejected_id"]), "left")
-    content = F.pandas_udf(digest, "long")(docs["text"].cast("string"))
-    return joined.where(F.col("_rejected").isNull() | ~F.array_contains(F.coalesce("_rejected", F.array().cast("array<long>")), content)).select(*[docs[c] for c in docs.columns])
-
+    def host_key(sources):
+        return pd.Series([_signed(xxhash.xxh3_64_intdigest(_host(s))) for s in sources], dtype="int64")
 
-def strip_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, feats: DataFrame | None = None) -> DataFrame:
-    """The rows of docs with lines above the limit taken out of their texts. (A set of line hashes travels with each
-    document that needs one, so nothing is broadcast.) feats: the features of all documents that lines are counted in,
-    docs among them, if they aren't docs alone."""
-    feats = Scratch(docs.sparkSession, "strip").keep(features(docs)) if feats is None else feats
-    lines = feats.select("doc_id", F.explode("line_keys").alias("line")).join(frequent_lines(feats, min_docs, share), "line")
-    out_of = lines.groupBy(F.col("doc_id").alias("_strip_id")).agg(F.collect_set("line").alias("_strip_lines"))
-    joined = docs.join(out_of, docs["doc_id"].cast("long").eqNullSafe(out_of["_strip_id"]), "left")
+    def content_key(texts):
+        return pd.Series([_content(t or "") for t in texts], dtype="int64")
 
     def cut(texts, sources, gone):
-        import pandas as pd
-
         def one(text, source, keys):
             if text is None or keys is None:
                 return text
-            host, keys = (b"\1" + source.encode() if source is not None else b"\0"), set(keys)
+            host, keys = _host(source), set(keys)
             return "\n".join(x for x in text.split("\n") if not set(line_counts(x, host)) & keys)
 
         return pd.Series([one(*x) for x in zip(texts, sources, gone, strict=True)], dtype=object)
 
-    import pandas as pd
-
-    cut.__annotations__ = {"texts": pd.Series, "sources": pd.Series, "gone": pd.Series, "return": pd.Series}
-    stripped = F.pandas_udf(cut, "string")(docs["text"], docs["source"].cast("string"), F.col("_strip_lines"))
-    return joined.select(*[stripped.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    for f in (host_key, content_key, cut):
+        f.__annotations__ = dict.fromkeys(f.__code__.co_varnames[: f.__code__.co_argcount], pd.Series) | {"return": pd.Series}
+    source, text = docs["source"].cast("string"), docs["text"].cast("string")
+    keyed = docs.select("*", F.pandas_udf(host_key, "long")(source).alias("_rule_host"), F.pandas_udf(content_key, "long")(text).alias("_rule_content"))
+    known = acted.dropDuplicates(_ROW).select(*[F.col(c).alias(f"_acted_{c}") for c in _ROW], F.col("kept").alias("_acted_kept"), F.col("lines").alias("_acted_lines"))
+    match = docs["doc_id"].cast("long").eqNullSafe(known["_acted_doc_id"]) & (F.col("_rule_host") == known["_acted_host"]) & (F.col("_rule_content") == known["_acted_content"])
+    left = keyed.join(known, match, "left").where(F.coalesce("_acted_kept", F.lit(True)))
+    stripped = F.pandas_udf(cut, "string")(text, source, F.col("_acted_lines"))
+    return left.select(*[stripped.alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
+def apply(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with lines above the limit taken out of their texts. Documents that are
+    rejected count towards a line's frequency."""
+    feats = Scratch(docs.sparkSession, "rules").keep(features(docs))
+    judged = _judged(feats, min_docs, share, least_left).where(~F.col("kept") | F.col("lines").isNotNull())
+    return _act(docs, judged.select(*_ROW, "kept", F.when(F.col("kept"), F.col("lines.line")).alias("lines")))
+
+
+def strip_frequent(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """All rows of docs, with lines above the limit taken out of their texts."""
+    feats = Scratch(docs.sparkSession, "strip").keep(features(docs))
+    return _act(docs, _marked(feats, min_docs, share).select(*_ROW, F.lit(True).alias("kept"), F.col("lines.line").alias("lines")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from fieldglass.llm import quality_rules as R
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_docs, share, least_left):
+def rules(rows, min_docs, share, least_left):
     """The rules, row by row, from the docstring."""
 
     def norm(line):
@@ -24,7 +24,7 @@ def brute(rows, min_docs, share, least_left):
             if WORD.search(line):
                 holders[source, norm(line)].add(text or "")
     frequent = {k for k, v in holders.items() if len(v) > min_docs and len(v) > share * len(docs[k[0]])}
-    out = []
+    out, left = [], []
     for doc_id, text, source in rows:
         text = text or ""
         words = WORD.findall(text)
@@ -37,8 +37,19 @@ def brute(rows, min_docs, share, least_left):
                 inside |= {i, i + 1, i + 2}
         gone = sum(len(WORD.findall(x)) for x in lines if WORD.search(x) and (source, norm(x)) in frequent)
         failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)
+        if not failed and len(words) - gone >= least_left * len(words):
+            left.append((doc_id, "\n".join(x for x in lines if not WORD.search(x) or (source, norm(x)) not in frequent), source))
         out.append((doc_id, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), failed, gone, not failed and len(words) - gone >= least_left * len(words)))
-    return sorted(out, key=repr)
+    return sorted(out, key=repr), sorted(left, key=repr)
+
+
+def brute(*args):
+    return rules(*args)[0]
+
+
+def brute_left(*args):
+    """The rows that stay, frequent lines taken out."""
+    return rules(*args)[1]
 
 
 def corpus(seed):
@@ -55,7 +66,7 @@ def corpus(seed):
         if r.random() < 0.3:
             lines += boiler * 20
         rows.append((i, "\n".join(lines), r.choice(["a", "b", None])))
-    rows += [(200, None, "a"), (201, "", "a"), (202, "\n\n \t\n", None), (None, rows[3][1], "a"), rows[5], rows[5], (203, "one\u00a0word", "b"), (204, "x " * 3000, "b")]
+    rows += [(200, None, "a"), (201, "", "a"), (202, "\n\n \t\n", None), (None, rows[3][1], "a"), rows[5], rows[5], (rows[5][0], rows[5][1], "other"), *[(rows[7][0], rows[7][1], s) for s in ("a", "b", None)], (None, None, None), (203, "one\u00a0word", "b"), (204, "x " * 3000, "b")]
     return rows
 
 
@@ -67,14 +78,14 @@ def test_judge_matches_brute_force(spark, seed):
     assert sorted(got, key=repr) == brute(rows, 5, 0.05, 0.5)
 
 
-def test_without_drops_the_judged_rows_only(spark):
+def test_apply_drops_the_judged_rows_and_frequent_lines_only(spark):
     rows = corpus(4)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("content", R.F.lit("clash")).withColumn("kept", R.F.lit(None).cast("int"))
     judged = R.judge(df, 5, 0.05, 0.5)
-    bad = judged.where("NOT kept").selectExpr("doc_id AS _judged_id", "content AS _judged_content").distinct()
-    left = R.without(df, bad)
+    left = R.apply(df, 5, 0.05, 0.5)
     assert left.columns == df.columns
     assert left.count() == judged.where("kept").count()
+    assert sorted((tuple(r)[:3] for r in left.collect()), key=repr) == brute_left(rows, 5, 0.05, 0.5)
 
 
 def test_frequent_lines_leave_and_others_stay(spark):
