@@ -2,10 +2,12 @@
 to source weights, and piece ids. Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all
 but the last return the columns of docs.
 
-Stage results: documents that fail a quality rule go, and frequent lines leave the others; of each near-duplicate group (fingerprints within op 3's two bits, or
-a Jaccard similarity of 0.8 or more on five-word shingles) the document with the smallest id stays; bytes of repeated passages are cut from all but their first text; documents are repeated or dropped so that
-sources meet their weights; texts become sampled piece ids, checked to decode to the text. Rows that repeat an id share
-that id's decision. Rows with a null id are judged by the rules and pass the other stages unchanged, but for mixing.
+Stage results: documents that fail a quality rule go, and frequent lines leave the others; of each near-duplicate group
+(fingerprints within op 3's two bits, or a Jaccard similarity of 0.8 or more on five-word shingles) the document with the
+smallest id stays; bytes of repeated passages are cut from all but their first text; documents are repeated or dropped so
+that sources meet their weights; texts become sampled piece ids, checked to decode to the text. Rows that repeat an id share
+its decision in the second stage; the rules and the mix decide by row. Rows with a null id are judged by the rules and pass
+the other stages unchanged, but for mixing.
 """
 
 from __future__ import annotations
@@ -22,10 +24,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    feats = Scratch(spark, "quality").keep(quality_rules.features(docs))
-    judged = quality_rules.judge(docs, feats=feats)
-    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_judged_id"), F.col("content").alias("_judged_content")).distinct()
-    return quality_rules.strip_frequent(quality_rules.without(docs, bad), feats=feats)
+    return quality_rules.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
