@@ -8,7 +8,9 @@ taken that hold at least GOAL of them on average. A query whose lists hold too f
 hold k candidates, so it returns k, or all there are. In a list a query adds one table entry for each code byte to the
 centroid's product (asymmetric distances: the query itself isn't quantised), and the rows of the RERANK best codes are
 scored exactly, in double precision, on the original vectors: many copies of one vector are one code, so they don't keep
-other rows from being scored. The nearest of all lists are the answer.
+other rows from being scored. So are the rows of every further code that may hold one of the k best: its entries plus the
+query's length times the longest error of its rows bound them. A visited list thus loses no neighbour, however coarse the
+codes are for its rows. The nearest of all lists are the answer.
 
 A list is searched in cells: blocks of at most CELL vectors by at most CELL queries. A vector that a third of all rows
 hold makes one long list of many cells, never one large task. Ties go to the smaller id at every step: equal vectors have
@@ -80,6 +82,10 @@ class Index:
         codes = np.stack([_nearest(parts[:, i], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
         return lists[back.ravel()], codes[back.ravel()]
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The code words of residuals, in double precision."""
+        return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)[:, : self.dim].astype(np.float64)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x SUBSPACES x CODES: inner products with the code words."""
         parts = self._parts(q)
@@ -127,21 +133,41 @@ def _search_cell(index: Index, codes: np.ndarray, ids: np.ndarray, x: np.ndarray
     by_code = np.argsort(code_of, kind="stable")
     many = np.bincount(code_of, minlength=len(first))
     start = np.cumsum(many) - many
+    # A row's product is that with its code word, with the middle of what the words leave, and with the rest, which is at
+    # most the product of the lengths.
+    words = index.decode(codes)
+    rest = x - words[code_of]
+    middle = rest.mean(axis=0)
+    longest = np.zeros(len(first))
+    np.maximum.at(longest, code_of, np.sqrt(((rest - middle) ** 2).sum(axis=1)))
+    longest += 1e-5 * (np.sqrt((words**2).sum(axis=1)) + np.sqrt((middle**2).sum()))  # the tables are of single precision
+    far = np.sqrt((x**2).sum(axis=1).max())
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(q), 64):
-        some = q[at : at + 64]
+        some, whole = q[at : at + 64], None
         # The centroid's product is the same for all rows of a list.
         tables = index.tables(some)
         near = tables[:, 0][:, codes[:, 0]]
         for part in range(1, SUBSPACES):
             near += tables[:, part][:, codes[:, part]]
         for i, row in enumerate(near):
-            me = q_ids[at + i]
+            me, asked = q_ids[at + i], some[i].astype(np.float64)
             codes_best = _best(row, rerank + 1)
             n = many[codes_best]
             best = by_code[np.repeat(start[codes_best] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             best = best[ids[best] != me]
-            score = (x[best] * some[i].astype(np.float64)).sum(axis=1)
+            score = (x[best] * asked).sum(axis=1)
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
+            length = np.sqrt(asked @ asked)
+            left = ~(row.astype(np.float64) + asked @ middle + longest * length < least)
+            left[codes_best] = False
+            more = np.zeros(0, np.int64)
+            if left.any():
+                # Products of a block differ from the exact sums in the last digits only.
+                whole = some.astype(np.float64) @ x.T if whole is None else whole
+                more = np.flatnonzero(left[code_of] & (ids != me) & ~(whole[i] < least - 1e-9 * length * far))
+            more_score = (x[more] * asked).sum(axis=1)
+            best, score = np.concatenate([best, more]), np.concatenate([score, more_score])
             top = np.lexsort((ids[best], -score))[:k]
             out_q += [me] * len(top)
             out_v += ids[best][top].tolist()

@@ -110,3 +110,18 @@ def test_doubles_are_scored_as_doubles_and_lengths_apart(spark):
         want = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in own if i != q))[:20]
         assert [i for i, _ in got[q]] == [i for _, i in want]
         np.testing.assert_allclose([s for _, s in got[q]], [-s for s, _ in want], rtol=1e-15)
+
+
+def test_a_list_loses_no_neighbour_to_coarse_codes():
+    r = np.random.default_rng(4)
+    # Tight groups in many dimensions: the codes tell the groups apart, not the rows of one.
+    x = (r.normal(size=(4, 384))[r.integers(4, size=3000)] + 0.05 * r.normal(size=(3000, 384))).astype(np.float32)
+    index, ids = A.fit(x[:1500], 1), np.arange(3000)
+    _, codes = index.encode(x)
+    asked = ids[::100]
+    q, v, s = A._search_cell(index, codes, ids, x, asked, x[asked], 20, 200)
+    exact = x[asked].astype(np.float64) @ x.astype(np.float64).T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    assert q == np.repeat(asked, 20).tolist() and v == want.ravel().tolist()
+    assert np.allclose(s, np.take_along_axis(exact, want, axis=1).ravel(), rtol=0, atol=1e-9)
