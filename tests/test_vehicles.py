@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from fieldglass.operators import vehicles as V
 
 
@@ -13,6 +15,24 @@ def test_bearers(spark):
     assert {r.need: r.bearer for r in got.collect()} == {1: "sat", 2: "wifi", 3: "uhf", 4: None, 5: None, 6: "uhf", 7: None}
 
 
+def test_needs_meet_few_bearers(spark):
+    r = random.Random(5)
+    have = [("v", f"b{i}", float(r.randrange(40)), float(r.randrange(20)), r.random() > 0.1, r.randrange(8) / 8, float(r.randrange(10))) for i in range(1500)]
+    have += [("v", None, 39.0, 0.0, True, 0.0, 2.0), ("v", "nan", float("nan"), 0.0, True, 1.0, 2.0), ("v", "unsure", 39.0, 0.0, None, 0.0, 9.0), ("w", "far", 1.0, 1.0, True, 0.0, None)]
+    bearers = spark.createDataFrame(have, "vehicle string, name string, bandwidth double, latency double, available boolean, signature double, reach_km double")
+    prefer = ["low_signature", "bandwidth", "latency", "none", None]
+    asked = [(i, r.choice("vvvw"), float(r.randrange(3, 45)), float(r.randrange(22)), float(r.randrange(3, 12)), r.choice(prefer)) for i in range(300)]
+    needs = spark.createDataFrame(asked, "need int, vehicle string, min_bandwidth double, max_latency double, range_km double, prefer string")
+    order = {"low_signature": lambda b: (b[5], b[3], -b[2], b[1]), "bandwidth": lambda b: (-b[2], b[5], b[3], b[1]), "latency": lambda b: (b[3], b[5], -b[2], b[1])}
+    want = {}
+    for n, vehicle, wide, late, away, p in asked:
+        fit = [b for b in have if b[0] == vehicle and b[1] and b[4] and b[2] >= wide and b[3] <= late and b[6] is not None and b[6] >= away and p in order]
+        want[n] = min(fit, key=order[p])[1] if fit else None
+    assert {x.need: x.bearer for x in V.choose_bearers(needs, bearers).collect()} == want
+    b = bearers.where("available AND name <> 'nan'").selectExpr("vehicle", "name", "bandwidth AS bw", "latency AS ms", "signature AS sig", "reach_km")
+    assert V._ahead(b, {"latency": F.struct(F.col("ms").alias("x"), F.col("sig").alias("y"), (-F.col("bw")).alias("z"), F.col("name").alias("n"))}).count() < 300
+
+
 @pytest.mark.parametrize("seed,floor", [(1, 0.0), (2, 0.3)])
 def test_widest_routes_match_brute_force(spark, seed, floor):
     r = random.Random(seed)
