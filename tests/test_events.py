@@ -189,6 +189,21 @@ def test_hot_place_links_by_classes(spark):
     assert L.duplicate_links(ev).count() < 500
 
 
+def test_events_of_one_spot_and_type_are_no_pairs(spark):
+    hot = [event(i, 1, lat=5.0, lon=5.0, event_type="battle", location="", notes=f"w{i}a w{i}b w{i}c") for i in range(300)]
+    near = [event(1000, 2, lat=5.05, lon=5.0, event_type="battle", location="", notes="all else")]
+    ev = frame(spark, hot + near)
+    assert L.duplicate_links(ev).count() < 400 and L.duplicate_pairs(ev).count() == 301 * 300 // 2
+    assert {r.incident for r in L.incident_groups(ev).collect()} == {0}
+
+
+def test_event_components_link_spots(spark):
+    ev = frame(spark, [event(i, 1 + i % 2, lat=5.0, lon=5.0) for i in range(300)] + [event(1000, 2, lat=80.0, lon=5.0)])
+    links = L.near_links(ev, 8.0, 3)
+    assert links.count() < 400 and L.near_pairs(ev, 8.0, 3).count() == 300 * 299 // 2
+    assert {(r.node, r.component) for r in L.connected_components(links).collect()} == {(i, 0) for i in range(1, 300)}
+
+
 def graph(seed, n=14, p=0.25):
     r = random.Random(seed)
     return [(f"n{i:02d}", f"n{j:02d}", r.randrange(1, 5)) for i in range(n) for j in range(i + 1, n) if r.random() < p], [f"n{i:02d}" for i in range(n + 1)]
