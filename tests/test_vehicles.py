@@ -124,3 +124,13 @@ def test_boxes_match_flood_fill(seed):
         if len(group) >= 3:
             want.append((min(i for _, i in group), min(j for j, _ in group), max(i for _, i in group), max(j for j, _ in group)))
     assert sorted(V.bright_boxes(x, 0.5, 3)) == sorted(want)
+
+
+def test_searches_of_a_small_file_are_spread(spark, tmp_path):
+    from fieldglass.plans import vehicles as P
+
+    for table, rows in (("events", "id AS event_id, 'error' AS event_type, id AS user_id"), ("part", "id AS p_partkey, id AS p_size")):
+        spark.range(64).selectExpr(*rows.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    for name in ("terrain_fixes", "sonar_contacts"):
+        got = P.Q[name](spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1 and got.count() >= 64
