@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -74,6 +75,32 @@ def test_incident_store_matches_brute_force(spark, tmp_path, seed):
     assert got == brute(rows)
 
 
+def test_incident_store_goes_on_from_its_state(spark, tmp_path):
+    r = random.Random(3)
+    spot = lambda: r.choice([(None, None), (10.0, 179.95), (10.05, -179.98), (89.99, 10.0), (89.99, -170.0), (10.0, None)])
+    rows = [(i, r.choice(["X", "", None]), None if r.random() < 0.05 else r.randrange(8), r.choice(["battle", "other", "other"]), r.choice(["", "Town", "town north", "hill"]), r.sample(["a1", "b2", "c3", "d4"], r.randrange(0, 4)), *spot(), r.randrange(5), r.choice("ST")) for i in range(160)]
+    rows = [x if x[1] else (x[0], "", *x[2:]) for x in rows]
+    source(spark, str(tmp_path / "src"), [rows[:80]])
+    time.sleep(1.1)  # files are taken by their age
+    source(spark, str(tmp_path / "more"), [rows[80:]])
+    (tmp_path / "more" / "in00").rename(tmp_path / "src" / "in01")
+    df = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    # Coordinates may come from two reports: the canonical record holds the first of each.
+    located = [x for x in rows if (x[6] is None) == (x[7] is None)]
+    got = sorted((tuple(x) for x in run(S.incident_store(df.where("(lat IS NULL) = (lon IS NULL)")), "append").collect()), key=repr)
+    assert got == brute(located)
+
+
+def test_incidents_that_nothing_can_join_cost_nothing(spark, tmp_path):
+    # Each report without words opens an incident; every later one was held against all of them (134 s).
+    rows = [(i, "X", 1, "other", "Town", [], None, None, 0, "S") for i in range(12_000)]
+    df = source(spark, str(tmp_path / "src"), [rows])
+    began = time.monotonic()
+    got = run(S.incident_store(df), "append")
+    assert got.count() == 12_000 and got.where("NOT is_new").count() == 0 and got.agg(F.max("cluster")).first()[0] == 11_999
+    assert time.monotonic() - began < 25
+
+
 def test_duplicates_leave_the_stream_once(spark, tmp_path):
     at = dt.datetime(2026, 1, 1)
     rows = [(f"id{i % 7}", at + dt.timedelta(minutes=i)) for i in range(40)]
