@@ -204,6 +204,36 @@ def test_event_components_link_spots(spark):
     assert {(r.node, r.component) for r in L.connected_components(links).collect()} == {(i, 0) for i in range(1, 300)}
 
 
+def spread(seed, n, types):
+    """Events of few spots and days, with words of a few vocabularies; some have no type, words or seq of their own."""
+    r = random.Random(seed)
+    words = lambda: " ".join(r.choice(["a1 b1 c1 d1", "a1 b1 c1 e1", "f1 g1", f"x{r.randrange(9)}y z{r.randrange(99)}z", ""]) for _ in range(r.randrange(3)))
+    return [event(r.randrange(n - 9) if i % 50 == 0 else i, 1 + r.randrange(4), lat=r.choice([5.0, 5.05]), lon=5.0, event_type=r.choice(types), actor1=r.choice(["AB", "CD", ""]), actor2="", location="", region="", notes=words()) for i in range(n)]
+
+
+@pytest.mark.parametrize("size,alone", [(512, 1 << 16), (512, 0), (7, 1 << 16), (7, 20)])
+def test_pairs_of_blocks_match_brute_force(spark, monkeypatch, size, alone):
+    monkeypatch.setattr(L, "BLOCK", size)
+    monkeypatch.setattr(L, "ALONE", alone)
+    rows = spread(7, 200, ["battle", "riots", "other", "other"])
+    pairs = [(min(a[0], b[0]), max(a[0], b[0]), a, b) for a, b in combinations(rows, 2) if a[0] != b[0]]
+    assert {tuple(x) for x in L.duplicate_pairs(frame(spark, rows)).collect()} == {(i, j) for i, j, a, b in pairs if brute_duplicate(a, b, 1, 15.0, 0.5)}
+    assert L.duplicate_pairs(frame(spark, rows)).count() == len({(i, j) for i, j, a, b in pairs if brute_duplicate(a, b, 1, 15.0, 0.5)})
+    assert sorted(tuple(x) for x in L.near_pairs(frame(spark, rows), 8.0, 2).collect()) == sorted((i, j) for i, j, a, b in pairs if gap(a, b) <= 2 and km(a, b) <= 8.0)
+
+
+def test_pairs_are_made_of_blocks_not_joined(spark):
+    ev = frame(spark, [event(i, 1, lat=5.0, lon=5.0, notes=f"w{i}a") for i in range(600)])
+    assert L._met(ev, F.col("seq"), 8.0, 3).count() == 3
+    plan = L.duplicate_pairs(ev)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "Aggregate" not in plan
+
+
+def test_pairs_keep_the_type_of_seq(spark):
+    ev = frame(spark, [event(i, 1, lat=5.0, lon=5.0, event_type="battle") for i in (10, 9)]).withColumn("seq", F.concat(F.lit("s"), "seq"))
+    assert [tuple(r) for r in L.duplicate_pairs(ev).collect()] == [tuple(r) for r in L.near_pairs(ev).collect()] == [("s10", "s9")]
+
+
 def graph(seed, n=14, p=0.25):
     r = random.Random(seed)
     return [(f"n{i:02d}", f"n{j:02d}", r.randrange(1, 5)) for i in range(n) for j in range(i + 1, n) if r.random() < p], [f"n{i:02d}" for i in range(n + 1)]
