@@ -12,10 +12,10 @@ every repeat of LENGTH bytes:
 3. Different contexts of one gram, that is, the ends of copied passages. Only their bytes are fetched. The collection of
    all contexts of a gram gets an enhanced suffix array; a stack scan of its common-prefix intervals, with the test for
    different bytes to the left, gives maximal repeats with all occurrences. All but the first occurrence are covered.
-   Two contexts of a gram hold a common window only if they agree on the SIDE = 34 bytes before the gram, or on the 34 after
-   it, as a window has that many on one of its sides. Contexts that agree with no other are left out, and what is left is
-   taken side by side, so an array spans few contexts. A gram with over HOT different contexts is dealt out by its sides
-   first; of sides with over HOT contexts still, each window is dealt by its own hash.
+   Of a context only what reaches from the first to the last window that stands more than once in its collection enters the
+   array, most of what differs stays out. A gram with over HOT different contexts is dealt out by its sides first: two contexts
+   of a gram hold a common window only if they agree on the SIDE = 34 bytes before the gram, or on the 34 after it, as a
+   window has that many on one of its sides. Of sides with over HOT contexts still, each window is dealt by its own hash.
 4. Covered intervals meet their text, which is cut.
 
 Order is by (doc_id, start) throughout. Equality in steps 2 and for HOT grams is by 128 bits of hash, in step 3 by bytes.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from .suffix_array import SuffixArray
 
 LENGTH, GRAM, HOT = 100, 32, 20_000
 #: Window starts in a segment of the anchor scan, and bytes of contexts under one suffix array.
-SEGMENT, COLLECTION = 1 << 17, 1 << 20
+SEGMENT, COLLECTION = 1 << 17, 1 << 18
 _REACH = LENGTH - GRAM  # how far an anchor can stand from the start of its window
 SIDE = _REACH // 2
 #: kind: an anchor of a context (to be matched), a covered interval, a context whose bytes are wanted.
@@ -249,55 +250,58 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.binary())], ["h", "doc", "a", "context"])
 
 
-def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
-    """h, doc, a and contexts of one gram (or side of a hot gram) after the other. Batches are sorted by h."""
-    held: tuple[list, ...] = ([], [], [], [])
-    for b in batches:
-        columns = [k.to_pylist() for k in b.columns]
-        h = b.column(0).to_numpy()
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]).tolist() if len(h) else []
-        for i, j in zip(starts, [*starts[1:], len(h)], strict=True):
-            if held[0] and held[0][-1] != columns[0][i]:
-                yield held
-                held = ([], [], [], [])
-            for to, column in zip(held, columns, strict=True):
-                to += column[i:j]
-    if held[0]:
-        yield held
-
-
 def _left(a: int) -> int:
     """Bytes of a context before its gram."""
     return (a >> 8) & 255
 
 
-def _sides(a: list[int], contexts: list[bytes]) -> list[list[int]]:
-    """Indices of contexts of one gram that agree on the SIDE bytes before it, or on those after it: groups of two or more.
-    Any window that two contexts share at the gram is shared inside a group."""
-    groups: dict[tuple[bool, bytes], list[int]] = {}
-    for i, (p, c) in enumerate(zip(a, contexts, strict=True)):
-        at = _left(p)
-        if at >= SIDE:
-            groups.setdefault((True, c[at - SIDE : at]), []).append(i)
-        if len(c) >= at + GRAM + SIDE:
-            groups.setdefault((False, c[at + GRAM : at + GRAM + SIDE]), []).append(i)
-    return [g for g in groups.values() if len(g) > 1]
-
-
-def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
-    """Contexts that may share windows: whole sides, several at a time up to COLLECTION bytes."""
-    out: tuple[list, ...] = ([], [], [], [])
-    size = 0
-    for gram in _grams_of(batches):
-        for group in _sides(gram[2], gram[3]):
-            for to, column in zip(out, gram, strict=True):
-                to += map(column.__getitem__, group)
-            size += sum(len(gram[3][i]) for i in group)
-            if size >= COLLECTION:
-                yield out
-                out, size = ([], [], [], []), 0
-    if size:
-        yield out
+def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Contexts of whole grams, several at a time up to COLLECTION bytes. Batches are sorted by h."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy()
+        ends = np.r_[0, np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        at = 0
+        for i in np.flatnonzero(np.r_[h[0] != last, h[1:] != h[:-1]]).tolist():
+            if size + ends[i] - ends[at] >= COLLECTION:
+                yield pa.Table.from_batches([*held, b.slice(at, i - at)])
+                held, size, at = [], 0, i
+        held.append(b.slice(at))
+        size, last = size + int(ends[-1] - ends[at]), h[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sharing(collection: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """doc, a, offset and bytes: of the contexts of a collection, what reaches from the first to the last window that stands in
+    it more than once. Contexts without one are left out. Windows are told apart by a hash: an unlucky one lets more in,
+    never less, and what is let in is compared by its bytes."""
+    doc, a = (collection.column(c).to_numpy() for c in (1, 2))
+    column = collection.column(3).cast(pa.binary()).to_pylist()
+    sizes = np.array([len(c) for c in column], np.int64)
+    raw = b"".join(column)
+    begin = np.cumsum(sizes) - sizes
+    grams = _grams(np.frombuffer(raw + b"\0" * LENGTH, np.uint8))
+    windows = np.maximum(sizes - LENGTH + 1, 0)
+    own = np.repeat(np.arange(len(sizes)), windows)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[own]
+    # A window as grams that overlap or touch.
+    key = np.zeros(len(at), np.uint64)
+    for i, step in enumerate([*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]):
+        key += grams[at + step] * _ODD[i]
+    order = np.argsort(key)
+    key = key[order]
+    equal = key[1:] == key[:-1]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][equal]] = True
+    twice[order[:-1][equal]] = True
+    own, at = own[twice], at[twice]
+    new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    of, low, high = own[new], at[new], at[np.r_[new[1:], len(own)] - 1] + LENGTH if len(own) else at
+    return doc[of], a[of], low - begin[of], [raw[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
 
 
 def _later(doc: np.ndarray, start: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,9 +320,11 @@ def _later(doc: np.ndarray, start: np.ndarray, contexts: list[bytes]) -> tuple[n
 
 
 def _scan_collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, doc, a, contexts in _collections(batches):
-        place = np.array(a, np.int64)
-        found = _later(np.array(doc, np.int64), (place >> 16) - ((place >> 8) & 255), contexts)
+    for collection in _collections(batches):
+        doc, a, offset, contexts = _sharing(collection)
+        if not contexts:
+            continue
+        found = _later(doc, _span(a)[0] + offset, contexts)
         if len(found[0]):
             yield _batch(COVERED, **dict(zip(("doc", "a", "b"), _merge(*found), strict=True)))
 
@@ -350,12 +356,16 @@ def _own_places(string: bytes) -> set[int]:
 def _list_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal repeats of whole grams. A string that isn't anchored at the gram of its context can
     stand elsewhere without it: the gram that anchors it lists it."""
-    for _, doc, a, contexts in _collections(batches):
-        sa = SuffixArray(contexts, LENGTH, LENGTH + _REACH)
+    for collection in _collections(batches):
+        docs, anchor, cut, contexts = _sharing(collection)
+        if not contexts:
+            continue
+        sa, doc, a = SuffixArray(contexts, LENGTH, LENGTH + _REACH), docs.tolist(), anchor.tolist()
         for length, at in sa.maximal_repeats():
             own = sa.owner[at].tolist()
-            offset = (at - sa.first[sa.owner[at]]).tolist()
-            string = contexts[own[0]][offset[0] : offset[0] + length]
+            start = (at - sa.first[sa.owner[at]]).tolist()
+            string = contexts[own[0]][start[0] : start[0] + length]
+            offset = [int(cut[i]) + o for i, o in zip(own, start, strict=True)]
             places = _own_places(string)
             if any(_left(a[i]) - o in places for i, o in zip(own, offset, strict=True)):
                 key = _key(string)

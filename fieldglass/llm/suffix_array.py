@@ -22,7 +22,8 @@ class SuffixArray:
     """Suffixes in order of their first ``depth`` bytes, with common-prefix lengths up to ``depth``.
 
     Only suffixes of at least ``least`` bytes are listed. Built by prefix doubling from eight bytes up; the ranks of each
-    step are kept, and from them the common prefix of neighbours is found by descending through the steps."""
+    step are kept, and from them the common prefix of neighbours is found by descending through the steps. The steps beyond a
+    third of ``depth`` rank only the suffixes listed."""
 
     def __init__(self, strings: list[bytes], least: int, depth: int) -> None:
         self.least, self.depth = least, depth
@@ -40,16 +41,28 @@ class SuffixArray:
             key |= flat[i : i + n]
         _, rank = _ranks(key)
         self.steps, size = [(8, rank)], 8
-        while size < depth:
-            move = min(size, depth - size)  # the two halves may overlap: together they are size + move bytes
+        while 3 * size < depth:
             key = rank.astype(np.uint64)
             key *= np.uint64(n + 2)
-            key[: n - move] += rank[move:].astype(np.uint64) + np.uint64(1)
-            size += move
+            key[: max(n - size, 0)] += rank[size:].astype(np.uint64) + np.uint64(1)
+            size *= 2
             _, rank = _ranks(key)
             self.steps.append((size, rank))
         del key
-        self.order = starts[np.argsort(rank[starts], kind="stable")]
+        # The last two steps rank the listed suffixes only: what they go on with has a rank in the step before.
+        own, done = rank[starts], size
+        order = np.argsort(own) if done >= depth else None
+        while done < depth:
+            more = min(size, depth - done)
+            then = starts + (done + more - size)  # the two parts may overlap: together they are done + more bytes
+            key = own.astype(np.uint64) * np.uint64(n + 2)
+            key += np.where(then < n, rank[np.minimum(then, n - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            done += more
+            order, own = _ranks(key)
+            last = np.zeros(n, np.int32)
+            last[starts] = own
+            self.steps.append((done, last))
+        self.order = starts[order]
         self.lcp = self._common(left)
         self.steps = []  # ranks are the bulk of the memory: the scan needs none
 

@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from fieldglass.llm import repeats
-from fieldglass.llm.suffix_array import maximal_repeats
+from fieldglass.llm.suffix_array import SuffixArray, maximal_repeats
 
 
 def brute(docs):
@@ -115,3 +117,56 @@ def test_maximal_repeats_match_brute_force(seed):
     r = random.Random(seed)
     strings = [bytes(r.choice(b"ab" if seed % 2 else b"abc") for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(1, 6))]
     assert sorted(maximal_repeats(strings, 3)) == brute_maximal(strings, 3)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_order_and_common_prefixes_match_brute_force(seed):
+    r = random.Random(seed)
+    strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(0, 90))) for _ in range(r.randrange(1, 6))] * 2
+    for least, depth in ((1, 1), (3, 8), (5, 9), (5, 17), (10, 24), (10, 25), (12, 60), (1, 200)):
+        sa = SuffixArray(strings, least, depth)
+        own, at = sa.owner[sa.order], sa.order - sa.first[sa.owner[sa.order]]
+        got = [strings[k][i : i + depth] for k, i in zip(own, at, strict=True)]
+        assert sorted(zip(own, at, strict=True)) == [(k, i) for k, s in enumerate(strings) for i in range(len(s) - least + 1)]
+        assert got == sorted(got)
+        assert sa.lcp[1:].tolist() == [len(os.path.commonprefix([x, y])) for x, y in zip(got, got[1:], strict=False)]
+
+
+def test_only_shared_windows_enter_a_suffix_array(monkeypatch):
+    r = random.Random(5)
+    some = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    gram, before, after = some(32), some(60), some(60)
+    # The first three agree on both sides of the gram with a later one, the others on one side, without a common window.
+    both = [some(8) + before + gram + after + some(8) for _ in range(3)]
+    one = [some(8) + before + gram + some(68) for _ in range(40)] + [some(68) + gram + after + some(8) for _ in range(40)]
+    contexts = both + one
+    rows = [pa.array(x, t) for x, t in (([7] * 83, pa.int64()), (range(83), pa.int64()), ([(68 << 16) | (68 << 8) | 100] * 83, pa.int64()), (contexts, pa.binary()))]
+    batch = pa.RecordBatch.from_arrays(rows, ["h", "doc", "a", "context"])
+    entered = []
+
+    class Seen(SuffixArray):
+        def __init__(self, strings, least, depth):
+            entered.extend(strings)
+            super().__init__(strings, least, depth)
+
+    monkeypatch.setattr(repeats, "SuffixArray", Seen)
+    found = [tuple(x) for b in repeats._scan_collections(iter([batch])) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+    assert sorted(found) == [(1, 8, 160), (2, 8, 160)]
+    assert entered == [before + gram + after] * 3
+    # Grams that span batches are one collection.
+    for cut in (1, 2, 50):
+        parts = [batch.slice(0, cut), batch.slice(0, 0), batch.slice(cut)]
+        again = [tuple(x) for b in repeats._scan_collections(iter(parts)) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+        assert sorted(again) == sorted(found)
+
+
+@pytest.mark.parametrize("limit", [1, 100, 500, 1 << 20])
+def test_collections_hold_whole_grams(monkeypatch, limit):
+    monkeypatch.setattr(repeats, "COLLECTION", limit)
+    h = [1, 1, 2, 3, 3, 3, 4, 4, 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(range(9)), pa.array([0] * 9), pa.array([b"x" * 60] * 9, pa.binary())], ["h", "doc", "a", "context"])
+    for cut in range(10):
+        got = [(t.column(0).to_pylist(), t.column(1).to_pylist()) for t in repeats._collections(iter([batch.slice(0, cut), batch.slice(cut)]))]
+        assert [x for _, docs in got for x in docs] == list(range(9)) and all(docs for _, docs in got)
+        assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:], strict=False))
+        assert all(60 * len(x[:-1]) < limit + 60 * 3 for x, _ in got)
